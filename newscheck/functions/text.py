@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 # (?U) makes \s and \S Unicode-aware; letters and digits are named by category,
 # because \w also takes combining marks and drops some number signs.
 LINK = r"(?U)http\S+|www\.\S+"
-NOT_WORD_OR_SPACE = r"(?U)[^\p{L}\p{N}_\s]"
+NOT_WORD_OR_SPACE = r"(?U)[^\p{L}\p{N}_\s]+"
 SPACES = r"(?U)\s+"
+# every run of white space but a single blank, which may stay as it is
+UNEVEN_SPACES = r"(?U) \s+|[\s&&[^ ]]\s*"
 WORD_OF_TWO = r"[\p{L}\p{N}_]{2,}"
 CLOUD_WORD = r"[\p{L}\p{N}_][\p{L}\p{N}_']*"
 
@@ -20,14 +22,15 @@ CLOUD_WORD = r"[\p{L}\p{N}_][\p{L}\p{N}_']*"
 def clean_text(text: Column) -> Column:
     """Drop links, then every character that is no word character or space, then
     squeeze white space. Letter case is kept."""
-    without_links = F.regexp_replace(text, LINK, "")
+    has_link = text.contains("http") | text.contains("www.")
+    without_links = F.when(has_link, F.regexp_replace(text, LINK, "")).otherwise(text)
     words_only = F.regexp_replace(without_links, NOT_WORD_OR_SPACE, "")
-    return F.trim(F.regexp_replace(words_only, SPACES, " "))
+    return F.trim(F.regexp_replace(words_only, UNEVEN_SPACES, " "))
 
 
 def whitespace_words(text: Column) -> Column:
     """Words between white space, case kept: the retrieval tokens."""
-    return F.filter(F.split(text, SPACES), lambda w: w != "")
+    return F.array_remove(F.split(text, SPACES), "")
 
 
 def lower_words(text: Column) -> Column:

@@ -59,6 +59,11 @@ def _tokens(docs: DataFrame, config: BM25Config) -> DataFrame:
     return docs.select("doc_id", words.alias("terms"))
 
 
+def batch_counts(docs: DataFrame, vocab: DataFrame, config: BM25Config) -> DataFrame:
+    """``doc_id, term_id, tf, dl`` of ``docs`` (``doc_id, text``) over a vocabulary."""
+    return term_counts(_tokens(docs, config), vocab, config.max_features)
+
+
 def _length(vocab: DataFrame) -> int:
     return vocab.agg(F.sum("cf")).first()[0] or 0
 
@@ -74,7 +79,7 @@ def fit(corpus: DataFrame, config: BM25Config = BM25Config()) -> BM25Index:
         ),
         "vocab",
     )
-    counts = term_counts(tokens, vocab, config.max_features)
+    counts = batch_counts(corpus, vocab, config)
     return BM25Index(config, corpus, vocab, counts, n_docs, _length(vocab))
 
 
@@ -107,7 +112,7 @@ def postings(index: BM25Index) -> DataFrame:
 
 def transform(index: BM25Index, docs: DataFrame) -> DataFrame:
     """The same weights for new documents, with the fitted vocabulary and statistics."""
-    counts = term_counts(_tokens(docs, index.config), index.vocab, index.config.max_features)
+    counts = batch_counts(docs, index.vocab, index.config)
     return _weighted(index, counts)
 
 
@@ -119,7 +124,7 @@ def document_vectors(index: BM25Index) -> DataFrame:
 def query_vectors(index: BM25Index, queries: DataFrame) -> DataFrame:
     """``id, vec`` of query texts; a repeated term counts as often as it occurs."""
     docs = queries.select(F.col("query_id").alias("doc_id"), "text")
-    counts = term_counts(_tokens(docs, index.config), index.vocab, index.config.max_features)
+    counts = batch_counts(docs, index.vocab, index.config)
     return to_vectors(counts, "tf").withColumnRenamed("doc_id", "id")
 
 
@@ -173,7 +178,7 @@ def self_topk(index: BM25Index, k: int = 10) -> DataFrame:
 def _shifted(index: BM25Index, docs: DataFrame, sign: int, n: int) -> tuple[DataFrame, int, int]:
     """Vocabulary statistics after adding (+1) or removing (-1) ``docs``."""
     delta = (
-        term_counts(_tokens(docs, index.config), index.vocab, index.config.max_features)
+        batch_counts(docs, index.vocab, index.config)
         .groupBy("term_id")
         .agg(F.count("*").alias("d_df"), F.sum("tf").alias("d_cf"))
     )
@@ -198,7 +203,7 @@ def add_documents(index: BM25Index, docs: DataFrame, rebuild_vocab: bool = False
     if rebuild_vocab:
         return fit(corpus, index.config)
     vocab, n_docs, length = _shifted(index, docs, 1, docs.count())
-    new = term_counts(_tokens(docs, index.config), vocab, index.config.max_features)
+    new = batch_counts(docs, vocab, index.config)
     return replace(
         index,
         corpus=corpus,

@@ -24,18 +24,13 @@ def term_stats(docs: DataFrame, terms: str = "terms") -> DataFrame:
     and all its terms to cf; both are summed before the shuffle, so a very
     frequent term costs one row per map task.
     """
-    once = F.transform(
-        F.array_distinct(terms),
-        lambda t: F.struct(t.alias("term"), F.lit(1).alias("df"), F.lit(0).alias("cf")),
-    )
-    each = F.transform(
-        F.col(terms),
-        lambda t: F.struct(t.alias("term"), F.lit(0).alias("df"), F.lit(1).alias("cf")),
-    )
+    all_terms = F.struct(F.col(terms).alias("list"), F.lit(0).alias("first"))
+    distinct = F.struct(F.array_distinct(terms).alias("list"), F.lit(1).alias("first"))
     return (
-        docs.select(F.inline(F.concat(once, each)))
+        docs.select(F.inline(F.array(all_terms, distinct)))
+        .select(F.explode("list").alias("term"), "first")
         .groupBy("term")
-        .agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
+        .agg(F.sum("first").alias("df"), F.sum(1 - F.col("first")).alias("cf"))
     )
 
 

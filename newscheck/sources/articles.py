@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from newscheck.functions.labels import label_code
 from newscheck.functions.text import clean_text, text_length, word_count
+from newscheck.session import spread
 
 ARTICLE_SCHEMA = T.StructType(
     [
@@ -53,7 +54,9 @@ def read_articles_jdbc(
 
 def articles_from_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Article view over the ``documents`` and ``labels`` tables."""
-    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    documents = spread(
+        spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
+    )
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     return documents.join(labels, "doc_id", "left").select(
         F.col("doc_id").alias("id"),
