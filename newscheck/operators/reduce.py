@@ -44,8 +44,15 @@ class Reducer:
 
 
 def sparse_rows(weights: Weights) -> DataFrame:
-    """``doc_id, vec`` written once, as it is read in every pass."""
-    return materialize(to_vectors(weights.cells, "weight"), "rows")
+    """``doc_id, vec`` of every document, written once, as it is read in every pass."""
+    return materialize(with_empty(to_vectors(weights.cells, "weight"), weights.docs), "rows")
+
+
+def with_empty(vectors: DataFrame, docs: DataFrame) -> DataFrame:
+    """Add an empty vector for every ``doc_id`` of ``docs`` that has none."""
+    empty = F.array().cast("array<struct<i:int,v:double>>")
+    joined = docs.select("doc_id").join(vectors, "doc_id", "left")
+    return joined.select("doc_id", F.coalesce("vec", empty).alias("vec"))
 
 
 def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
@@ -93,7 +100,7 @@ def _orient(components: np.ndarray) -> np.ndarray:
 
 
 def fit_reducer(rows: DataFrame, n_docs: int, n_features: int, k: int, method: str = "svd") -> Reducer:
-    """Fit on ``doc_id, vec``; documents without a row count as zero vectors."""
+    """Fit on ``doc_id, vec``, one row per document."""
     if method not in ("svd", "pca"):
         raise ValueError(f"unknown method {method!r}: use 'svd' or 'pca'")
     width = min(k + OVERSAMPLE, n_features)
@@ -156,7 +163,7 @@ def project(rows: DataFrame, reducer: Reducer) -> DataFrame:
 
 
 def reduce_dimensions(weights: Weights, k: int = 2, method: str = "svd") -> DataFrame:
-    """``doc_id, vector`` of all documents that hold a known term.
+    """``doc_id, vector`` of all documents.
 
     For 'tsne' and 'umap' only the reduction ahead of the layout is done.
     """

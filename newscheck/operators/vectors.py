@@ -32,10 +32,14 @@ TOP_TERMS = 20
 
 @dataclass(frozen=True)
 class Weights:
-    """``cells``: doc_id, term_id, term, tf, weight. ``vocab``: term_id, term, df, cf."""
+    """``cells``: doc_id, term_id, term, tf, weight. ``vocab``: term_id, term, df, cf.
+
+    ``docs`` has the ``doc_id`` of every document, also of those without a cell.
+    """
 
     cells: DataFrame
     vocab: DataFrame
+    docs: DataFrame
     n_docs: int
     max_features: int | None
 
@@ -66,7 +70,7 @@ def tfidf(docs: DataFrame, max_features: int | None = TFIDF_FEATURES) -> Weights
     cells = counts.withColumn("raw", raw).select(
         "doc_id", "term_id", "term", "tf", (F.col("raw") / length).alias("weight")
     )
-    return Weights(cells, vocab, n_docs, max_features)
+    return Weights(cells, vocab, docs.select("doc_id"), n_docs, max_features)
 
 
 def bm25_vectors(docs: DataFrame, max_features: int | None = None) -> Weights:
@@ -81,13 +85,14 @@ def bm25_vectors(docs: DataFrame, max_features: int | None = None) -> Weights:
         * (K1 + 1)
     )
     cells = counts.select("doc_id", "term_id", "term", "tf", weight.alias("weight"))
-    return Weights(cells, vocab, n_docs, max_features)
+    return Weights(cells, vocab, docs.select("doc_id"), n_docs, max_features)
 
 
-def retrieval_weights(docs: DataFrame, max_features: int | None = HANDLER_FEATURES) -> Weights:
-    """Document-by-term weights of the BM25 index."""
-    index = bm25.fit(docs, bm25.BM25Config(max_features=max_features))
-    return Weights(bm25.postings(index).drop("dl"), index.vocab, index.n_docs, max_features)
+def index_weights(index: bm25.BM25Index) -> Weights:
+    """Document-by-term weights of a BM25 index."""
+    cells = bm25.postings(index).drop("dl")
+    ids = index.corpus.select("doc_id")
+    return Weights(cells, index.vocab, ids, index.n_docs, index.config.max_features)
 
 
 def vectorize(docs: DataFrame, method: str = "tfidf", max_features: int | None = None) -> Weights:
@@ -95,7 +100,8 @@ def vectorize(docs: DataFrame, method: str = "tfidf", max_features: int | None =
     if method.lower() == "tfidf":
         return tfidf(docs, max_features or TFIDF_FEATURES)
     if method.lower() == "bm25":
-        return retrieval_weights(docs, max_features or HANDLER_FEATURES)
+        config = bm25.BM25Config(max_features=max_features or HANDLER_FEATURES)
+        return index_weights(bm25.fit(docs, config))
     raise ValueError(f"unknown method {method!r}: use 'tfidf' or 'bm25'")
 
 
