@@ -6,7 +6,7 @@ function takes a table with a document id and an array column of terms.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -17,6 +17,15 @@ from newscheck.session import materialize
 BROADCAST_TERMS = 200_000
 
 
+def each_entry(df: DataFrame, array: str | Column, name: str, *keep: str | Column) -> DataFrame:
+    """One row per array entry that is not NULL, with the columns ``keep``.
+
+    Written with explode_outer: for a plain explode Spark adds a filter on the array
+    and moves it below earlier steps, where it computes the whole array once more.
+    """
+    return df.select(*keep, F.explode_outer(array).alias(name)).where(F.col(name).isNotNull())
+
+
 def term_stats(docs: DataFrame, terms: str = "terms") -> DataFrame:
     """``term, df, cf``: documents holding the term, and its total occurrences.
 
@@ -26,9 +35,9 @@ def term_stats(docs: DataFrame, terms: str = "terms") -> DataFrame:
     """
     all_terms = F.struct(F.col(terms).alias("list"), F.lit(0).alias("first"))
     distinct = F.struct(F.array_distinct(terms).alias("list"), F.lit(1).alias("first"))
+    lists = docs.select(F.inline(F.array(all_terms, distinct)))
     return (
-        docs.select(F.inline(F.array(all_terms, distinct)))
-        .select(F.explode("list").alias("term"), "first")
+        each_entry(lists, "list", "term", "first")
         .groupBy("term")
         .agg(F.sum("first").alias("df"), F.sum(1 - F.col("first")).alias("cf"))
     )
@@ -97,7 +106,7 @@ def term_counts(
     """
     known = small_enough(vocab.select("term", "term_id"), max_features)
     return (
-        docs.select(F.col(doc_id).alias("doc_id"), F.explode(terms).alias("term"))
+        each_entry(docs, terms, "term", F.col(doc_id).alias("doc_id"))
         .join(known, "term")
         .repartition("doc_id")
         .groupBy("doc_id", "term_id")

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from newscheck.functions.text import cloud_words, lower_words, ngrams
+from newscheck.operators.terms import each_entry
 
 # Words shown in a cloud, n-grams shown in a chart.
 CLOUD_SIZE = 200
@@ -16,7 +17,7 @@ TOP_NGRAMS_PER_LABEL = 15
 
 def _ngram_rows(articles: DataFrame, text: str, low: int, high: int, *keys: str) -> DataFrame:
     words = articles.select(*keys, lower_words(F.col(text)).alias("words"))
-    return words.select(*keys, F.explode(ngrams(F.col("words"), low, high)).alias("ngram"))
+    return each_entry(words, ngrams(F.col("words"), low, high), "ngram", *keys)
 
 
 def top_ngrams(
@@ -59,7 +60,7 @@ def word_frequencies(
     """
     label = F.col("is_fake").cast("string") if by_label else F.lit("all")
     rows = articles.where("is_fake <> -1") if by_label else articles
-    words = rows.select(label.alias("label"), F.explode(cloud_words(F.col(text))).alias("word"))
+    words = each_entry(rows, cloud_words(F.col(text)), "word", label.alias("label"))
     spellings = words.groupBy("label", "word").agg(F.count("*").alias("n"))
 
     lower = F.lower("word")

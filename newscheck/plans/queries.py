@@ -25,7 +25,7 @@ from newscheck.operators import (
     vectors,
     words,
 )
-from newscheck.operators.terms import term_stats
+from newscheck.operators.terms import each_entry, term_stats
 from newscheck.session import scratch_path, spread
 from newscheck.sources import articles as art
 from newscheck.sources import index_store, stores
@@ -96,8 +96,8 @@ def _fakes(spark: SparkSession, sf: str) -> DataFrame:
 def _stopwords(spark: SparkSession, sf: str) -> DataFrame:
     """Stopwords of the test tables: the 50 most frequent words of ``benchmark``."""
     cleaned = _table(spark, sf, "benchmark").select(clean_text(F.col("text")).alias("text"))
-    term = F.explode(whitespace_words(F.col("text"))).alias("term")
-    counts = cleaned.select(term).groupBy("term").agg(F.count("*").alias("n"))
+    terms = each_entry(cleaned, whitespace_words(F.col("text")), "term")
+    counts = terms.groupBy("term").agg(F.count("*").alias("n"))
     return counts.orderBy(F.desc("n"), "term").limit(50).select("term")
 
 
