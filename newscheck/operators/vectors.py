@@ -96,9 +96,12 @@ def index_weights(index: bm25.BM25Index) -> Weights:
 
 
 def vectorize(docs: DataFrame, method: str = "tfidf", max_features: int | None = None) -> Weights:
-    """``docs`` is ``doc_id, text``; ``method`` is 'tfidf' or 'bm25'."""
+    """``docs`` is ``doc_id, text``; ``method`` is 'tfidf' or 'bm25'.
+
+    Without ``max_features`` TF-IDF keeps every valid term, BM25 the 5000 of the index.
+    """
     if method.lower() == "tfidf":
-        return tfidf(docs, max_features or TFIDF_FEATURES)
+        return tfidf(docs, max_features)
     if method.lower() == "bm25":
         config = bm25.BM25Config(max_features=max_features or HANDLER_FEATURES)
         return index_weights(bm25.fit(docs, config))

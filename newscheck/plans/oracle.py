@@ -125,17 +125,18 @@ hits AS (
   FROM scored WHERE score > 0 QUALIFY rank <= 10)""",
 )
 
-_TFIDF = (
-    _grams("grams", "every_doc"),
-    _vocabulary("vocab", "grams", "every_doc", "2000"),
-    """
+def _tfidf(size: int) -> tuple[str, ...]:
+    return (
+        _grams("grams", "every_doc"),
+        _vocabulary("vocab", "grams", "every_doc", str(size)),
+        """
 raw AS (
   SELECT g.doc_id, g.term, g.tf,
          g.tf * (ln((1.0 + (SELECT count(*) FROM every_doc)) / (1 + v.df)) + 1) AS w
   FROM grams g JOIN vocab v ON g.term = v.term),
 tfidf AS (
   SELECT doc_id, term, tf, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS weight FROM raw)""",
-)
+    )
 
 
 def _top_terms(cells: str, *ctes: str) -> str:
@@ -232,15 +233,16 @@ _LENGTHS = """
 
 _PAGE_TEXT = r"""
 parts AS (
-  SELECT page_id, url, unnest(list_transform(p, lambda x: regexp_replace(replace(replace(
+  SELECT page_id, url, unnest(list_transform(p, lambda x: regexp_replace(regexp_replace(regexp_replace(
            regexp_replace(string_split(x, '</p>')[1], '<[^>]*>', '', 'g'),
-           '&quot;', '"'), '&amp;', '&'), '^\s+|\s+$', '', 'g'))) AS text,
+           '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), '^\s+|\s+$', '', 'g'))) AS text,
          generate_subscripts(p, 1) AS place
   FROM (SELECT page_id, url, string_split(
           regexp_extract(html, '(?s)<article>(.*)</article>', 1), '<p>')[2:] AS p FROM pages)),
 titles AS (
-  SELECT page_id, url, trim(replace(replace(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1),
-         '&quot;', '"'), '&amp;', '&')) AS title FROM pages)"""
+  SELECT page_id, url, trim(regexp_replace(regexp_replace(
+           regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1), '&quot;?', '"', 'g'), '&amp;?', '&', 'g'))
+         AS title FROM pages)"""
 
 
 def _merged(upsert: bool) -> str:
@@ -420,7 +422,7 @@ QUALIFY rank <= 15""",
     "auto_max_features": _articles(
         "SELECT CAST(least(3000, floor(avg(word_count) * 1.5)) AS INTEGER) AS max_features FROM prepared"
     ),
-    "tfidf_vectors": _articles(_ROUNDED + "tfidf", *_TFIDF),
+    "tfidf_vectors": _articles(_ROUNDED + "tfidf", *_tfidf(2000)),
     "bm25_vectors": _articles(
         _ROUNDED + "postings",
         _grams("grams", "every_doc"),
@@ -432,7 +434,7 @@ QUALIFY rank <= 15""",
         ),
         _postings("vocab", "grams", "every_doc", factor="2.5"),
     ),
-    "top_weighted_terms_tfidf": _top_terms("tfidf", *_TFIDF),
+    "top_weighted_terms_tfidf": _top_terms("tfidf", *_tfidf(5000)),
     "top_weighted_terms_bm25": _top_terms("postings", *_INDEX_ALL),
     "matrix_stats": _articles(
         """

@@ -26,7 +26,7 @@ from newscheck.operators import (
     words,
 )
 from newscheck.operators.terms import each_entry, term_stats
-from newscheck.session import scratch_path, spread
+from newscheck.session import materialize, scratch_path, spread
 from newscheck.sources import articles as art
 from newscheck.sources import index_store, stores
 from newscheck.streaming import articles as stream
@@ -55,37 +55,45 @@ def _articles(spark: SparkSession, sf: str) -> DataFrame:
     return art.articles_from_corpus(spark, sf)
 
 
-def _prepared(spark: SparkSession, sf: str) -> DataFrame:
-    return art.prepare_for_analysis(_articles(spark, sf), TEXT)
+def _stored(spark: SparkSession, sf: str) -> DataFrame:
+    """The articles with their normalised text as a table, as ingest leaves them.
 
+    For jobs that read the text several times: it is cleaned once.
+    """
+    return materialize(_articles(spark, sf), "articles")
 
-def _labelled(spark: SparkSession, sf: str) -> DataFrame:
-    return art.labelled_articles(_articles(spark, sf), TEXT)
 
+def _prepared(articles: DataFrame) -> DataFrame:
+    return art.prepare_for_analysis(articles, TEXT)
 
-def _docs(articles: DataFrame) -> DataFrame:
-    return articles.select(F.col("id").alias("doc_id"), F.col(TEXT).alias("text"))
+
+def _labelled(articles: DataFrame) -> DataFrame:
+    return art.labelled_articles(articles, TEXT)
+
+
+def _unlabelled(articles: DataFrame) -> DataFrame:
+    return articles.where("is_fake is null")
 
 
-def _unlabelled(spark: SparkSession, sf: str) -> DataFrame:
-    return _articles(spark, sf).where("is_fake is null")
+def _docs(articles: DataFrame) -> DataFrame:
+    return articles.select(F.col("id").alias("doc_id"), F.col(TEXT).alias("text"))
 
 
-def _queries(spark: SparkSession, sf: str) -> DataFrame:
+def _queries(articles: DataFrame) -> DataFrame:
     """Every article nobody has labelled asks for a verdict."""
-    return _docs(_unlabelled(spark, sf)).withColumnRenamed("doc_id", "query_id")
+    return _docs(_unlabelled(articles)).withColumnRenamed("doc_id", "query_id")
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def _fitted(spark: SparkSession, sf: str) -> bm25.BM25Index:
-    return bm25.fit(_docs(_labelled(spark, sf)))
+def _fitted(articles: DataFrame) -> bm25.BM25Index:
+    return bm25.fit(_docs(_labelled(articles)))
 
 
-def _fitted_on_all(spark: SparkSession, sf: str) -> bm25.BM25Index:
-    return bm25.fit(_docs(_articles(spark, sf)))
+def _fitted_on_all(articles: DataFrame) -> bm25.BM25Index:
+    return bm25.fit(_docs(articles))
 
 
 def _fakes(spark: SparkSession, sf: str) -> DataFrame:
@@ -101,9 +109,9 @@ def _stopwords(spark: SparkSession, sf: str) -> DataFrame:
     return counts.orderBy(F.desc("n"), "term").limit(50).select("term")
 
 
-def _recrawled(spark: SparkSession, sf: str) -> DataFrame:
+def _recrawled(articles: DataFrame) -> DataFrame:
     """All articles crawled twice: the second time with a summary and an empty source."""
-    first = _articles(spark, sf).drop("published_at").withColumn("sequence", F.col("id"))
+    first = articles.drop("published_at").withColumn("sequence", F.col("id"))
     second = first.withColumns(
         {
             "sequence": F.col("id") + 1_000_000_000,
@@ -143,21 +151,22 @@ def csv_roundtrip(spark, sf):
 
 @query
 def stage_rows(spark, sf):
-    staged = ingest.stage(_recrawled(spark, sf), keep=["sequence"])
+    staged = ingest.stage(_recrawled(_articles(spark, sf)), keep=["sequence"])
     return staged.select("sequence", "title", "url", "source", "summary", "content", "is_fake")
 
 
 @query
 def labeled_articles(spark, sf):
-    return _labelled(spark, sf).select("id", "source", TEXT, "is_fake")
+    return _labelled(_stored(spark, sf)).select("id", "source", TEXT, "is_fake")
 
 
 # ingest --------------------------------------------------------------------------
 
 
 def _merge(spark, sf, mode):
-    target = _labelled(spark, sf).withColumn("is_fake", F.col("is_fake").cast("boolean"))
-    merged = ingest.merge_articles(target, _recrawled(spark, sf), "sequence", mode)
+    articles = _stored(spark, sf)
+    target = _labelled(articles).withColumn("is_fake", F.col("is_fake").cast("boolean"))
+    merged = ingest.merge_articles(target, _recrawled(articles), "sequence", mode)
     return merged.select("id", "title", "url", "source", "summary", "crawled_at", "is_fake")
 
 
@@ -173,14 +182,15 @@ def insert_ignore_articles(spark, sf):
 
 @query
 def dedup_url_title(spark, sf):
-    rows = ingest.dedup_latest(_recrawled(spark, sf), "sequence")
+    rows = ingest.dedup_latest(_recrawled(_articles(spark, sf)), "sequence")
     return rows.select("sequence", "url", "title", "source", "summary")
 
 
 @query
 def dedup_keep_last(spark, sf):
-    old = _labelled(spark, sf).withColumn("sequence", F.col("id"))
-    new = _articles(spark, sf).withColumn("sequence", F.col("id") + 1_000_000_000).drop("is_fake")
+    articles = _stored(spark, sf)
+    old = _labelled(articles).withColumn("sequence", F.col("id"))
+    new = articles.withColumn("sequence", F.col("id") + 1_000_000_000).drop("is_fake")
     rows = ingest.append_keep_last(old, new, "sequence", ("title", "content"))
     return rows.select("sequence", "title", "content", "is_fake")
 
@@ -193,7 +203,8 @@ def dedup_keep_first(spark, sf):
 
 @query
 def skip_known_urls(spark, sf):
-    return ingest.skip_known_urls(_articles(spark, sf), _labelled(spark, sf)).select("id", "url", "title")
+    articles = _stored(spark, sf)
+    return ingest.skip_known_urls(articles, _labelled(articles)).select("id", "url", "title")
 
 
 @query
@@ -256,7 +267,7 @@ def normalize_text(spark, sf):
 @query
 def segment_words(spark, sf):
     """The lexicon: runs of two or three words found in at least five documents."""
-    docs = _docs(_articles(spark, sf))
+    docs = _docs(_stored(spark, sf))
     runs = docs.select(whitespace_words(F.col("text")).alias("words"))
     runs = runs.select(ngrams(F.col("words"), 2, 3, segment.JOINT).alias("terms"))
     lexicon = term_stats(runs).where("df >= 5").select("term")
@@ -278,7 +289,7 @@ def extract_page_content(spark, sf):
 
 @query
 def prepare_for_analysis(spark, sf):
-    return _prepared(spark, sf).select(
+    return _prepared(_articles(spark, sf)).select(
         "id", "text_length", "word_count", "year", "month", "day", "day_of_week", "is_fake"
     )
 
@@ -326,27 +337,27 @@ def length_describe(spark, sf):
 
 @query
 def source_label_crosstab(spark, sf):
-    return profile.source_label_crosstab(_prepared(spark, sf))
+    return profile.source_label_crosstab(_prepared(_articles(spark, sf)))
 
 
 @query
 def length_histogram(spark, sf):
-    return profile.length_histogram(_prepared(spark, sf))
+    return profile.length_histogram(_prepared(_articles(spark, sf)))
 
 
 @query
 def length_kde(spark, sf):
-    return profile.length_kde(_prepared(spark, sf))
+    return profile.length_kde(_prepared(_articles(spark, sf)))
 
 
 @query
 def concat_text_by_label(spark, sf):
-    return profile.joined_text(_prepared(spark, sf), TEXT)
+    return profile.joined_text(_prepared(_articles(spark, sf)), TEXT)
 
 
 @query
 def concat_text_all(spark, sf):
-    return profile.joined_text(_prepared(spark, sf), TEXT, by_label=False)
+    return profile.joined_text(_prepared(_articles(spark, sf)), TEXT, by_label=False)
 
 
 # words -----------------------------------------------------------------------------
@@ -354,12 +365,12 @@ def concat_text_all(spark, sf):
 
 @query
 def word_frequencies(spark, sf):
-    return words.word_frequencies(_prepared(spark, sf), "content")
+    return words.word_frequencies(_prepared(_articles(spark, sf)), "content")
 
 
 @query
 def word_frequencies_by_label(spark, sf):
-    return words.word_frequencies(_prepared(spark, sf), "content", by_label=True)
+    return words.word_frequencies(_prepared(_articles(spark, sf)), "content", by_label=True)
 
 
 @query
@@ -379,7 +390,7 @@ def top_one_to_three_grams(spark, sf):
 
 @query
 def ngrams_by_label(spark, sf):
-    return words.top_ngrams_by_label(_prepared(spark, sf), TEXT, (1, 2))
+    return words.top_ngrams_by_label(_prepared(_articles(spark, sf)), TEXT, (1, 2))
 
 
 # vectors -----------------------------------------------------------------------------
@@ -405,33 +416,34 @@ def _rounded(cells: DataFrame) -> DataFrame:
 
 @query
 def tfidf_vectors(spark, sf):
-    return _rounded(vectors.tfidf(_docs(_articles(spark, sf))).cells)
+    return _rounded(vectors.tfidf(_docs(_stored(spark, sf))).cells)
 
 
 @query
 def bm25_vectors(spark, sf):
-    return _rounded(vectors.bm25_vectors(_docs(_articles(spark, sf))).cells)
+    return _rounded(vectors.bm25_vectors(_docs(_stored(spark, sf))).cells)
 
 
-def _doc_labels(spark, sf):
-    return _prepared(spark, sf).select(F.col("id").alias("doc_id"), "is_fake")
+def _top_terms(spark, sf, method):
+    articles = _stored(spark, sf)
+    labels = _prepared(articles).select(F.col("id").alias("doc_id"), "is_fake")
+    weights = vectors.vectorize(_docs(articles), method, 5000)
+    return vectors.top_weighted_terms(weights, labels)
 
 
 @query
 def top_weighted_terms_tfidf(spark, sf):
-    weights = vectors.vectorize(_docs(_articles(spark, sf)), "tfidf")
-    return vectors.top_weighted_terms(weights, _doc_labels(spark, sf))
+    return _top_terms(spark, sf, "tfidf")
 
 
 @query
 def top_weighted_terms_bm25(spark, sf):
-    weights = vectors.vectorize(_docs(_articles(spark, sf)), "bm25")
-    return vectors.top_weighted_terms(weights, _doc_labels(spark, sf))
+    return _top_terms(spark, sf, "bm25")
 
 
 @query
 def matrix_stats(spark, sf):
-    index = _fitted_on_all(spark, sf)
+    index = _fitted_on_all(_stored(spark, sf))
     return bm25.matrix_stats(index.counts, index.n_docs, index.vocab.count())
 
 
@@ -440,17 +452,17 @@ def matrix_stats(spark, sf):
 
 @query
 def bm25_vocab(spark, sf):
-    return _fitted(spark, sf).vocab
+    return _fitted(_stored(spark, sf)).vocab
 
 
 @query
 def bm25_postings(spark, sf):
-    return _rounded(bm25.postings(_fitted(spark, sf)))
+    return _rounded(bm25.postings(_fitted(_stored(spark, sf))))
 
 
 @query
 def doc_lengths(spark, sf):
-    index = _fitted(spark, sf)
+    index = _fitted(_stored(spark, sf))
     lengths = index.counts.groupBy("doc_id").agg(F.first("dl").alias("dl"))
     return index.corpus.join(lengths, "doc_id", "left").select(
         "doc_id",
@@ -461,52 +473,56 @@ def doc_lengths(spark, sf):
 
 @query
 def bm25_query_topk(spark, sf):
-    return bm25.query_topk(_fitted(spark, sf), _queries(spark, sf))
+    articles = _stored(spark, sf)
+    return bm25.query_topk(_fitted(articles), _queries(articles))
 
 
 @query
 def bm25_self_topk(spark, sf):
-    return bm25.self_topk(_fitted_on_all(spark, sf))
+    return bm25.self_topk(_fitted_on_all(_stored(spark, sf)))
 
 
 @query
 def bm25_transform_new(spark, sf):
-    return _rounded(bm25.transform(_fitted(spark, sf), _docs(_unlabelled(spark, sf))))
+    articles = _stored(spark, sf)
+    return _rounded(bm25.transform(_fitted(articles), _docs(_unlabelled(articles))))
 
 
 @query
 def index_save_load(spark, sf):
     path = scratch_path(spark, "index")
-    index_store.save_index(_fitted(spark, sf), path)
+    index_store.save_index(_fitted(_stored(spark, sf)), path)
     return _rounded(bm25.postings(index_store.load_index(spark, path)))
 
 
 @query
 def index_add_documents(spark, sf):
-    index = bm25.add_documents(_fitted(spark, sf), _docs(_unlabelled(spark, sf)))
+    articles = _stored(spark, sf)
+    index = bm25.add_documents(_fitted(articles), _docs(_unlabelled(articles)))
     return _rounded(bm25.postings(index))
 
 
 @query
 def index_add_rebuild(spark, sf):
-    index = bm25.add_documents(_fitted(spark, sf), _docs(_unlabelled(spark, sf)), rebuild_vocab=True)
+    articles = _stored(spark, sf)
+    index = bm25.add_documents(_fitted(articles), _docs(_unlabelled(articles)), rebuild_vocab=True)
     return _rounded(bm25.postings(index))
 
 
 @query
 def index_remove_documents(spark, sf):
-    index = bm25.remove_documents(_fitted_on_all(spark, sf), _fakes(spark, sf))
+    index = bm25.remove_documents(_fitted_on_all(_stored(spark, sf)), _fakes(spark, sf))
     return _rounded(bm25.postings(index))
 
 
 @query
 def index_lookup(spark, sf):
-    return bm25.documents(_fitted_on_all(spark, sf), _fakes(spark, sf))
+    return bm25.documents(_fitted_on_all(_stored(spark, sf)), _fakes(spark, sf))
 
 
 @query
 def index_lookup_embeddings(spark, sf):
-    return _rounded(bm25.embeddings(_fitted_on_all(spark, sf), _fakes(spark, sf)))
+    return _rounded(bm25.embeddings(_fitted_on_all(_stored(spark, sf)), _fakes(spark, sf)))
 
 
 # detection ---------------------------------------------------------------------------
@@ -514,14 +530,16 @@ def index_lookup_embeddings(spark, sf):
 
 @query
 def detect_vote(spark, sf):
-    labelled = _labelled(spark, sf)
-    return detect.detect(bm25.fit(_docs(labelled)), _queries(spark, sf), labelled)
+    articles = _stored(spark, sf)
+    labelled = _labelled(articles)
+    return detect.detect(bm25.fit(_docs(labelled)), _queries(articles), labelled)
 
 
 @query
 def detect_similar_articles(spark, sf):
-    labelled = _labelled(spark, sf)
-    hits = bm25.query_topk(bm25.fit(_docs(labelled)), _queries(spark, sf))
+    articles = _stored(spark, sf)
+    labelled = _labelled(articles)
+    hits = bm25.query_topk(bm25.fit(_docs(labelled)), _queries(articles))
     return detect.similar_articles(hits, labelled)
 
 
@@ -553,67 +571,74 @@ def hybrid_interpret(spark, sf):
 
 @query
 def svd_reduce(spark, sf):
-    weights = vectors.tfidf(_docs(_articles(spark, sf)))
+    weights = vectors.tfidf(_docs(_stored(spark, sf)))
     return reduce.reduce_dimensions(weights, 2, "svd")
 
 
 @query
 def pca_reduce(spark, sf):
-    weights = vectors.tfidf(_docs(_articles(spark, sf)))
+    weights = vectors.tfidf(_docs(_stored(spark, sf)))
     return reduce.reduce_dimensions(weights, 3, "pca")
 
 
 @query
 def svd_before_umap(spark, sf):
-    weights = vectors.tfidf(_docs(_articles(spark, sf)))
+    weights = vectors.tfidf(_docs(_stored(spark, sf)))
     return reduce.reduce_dimensions(weights, method="umap")
 
 
-def _reducer(spark, sf, method):
-    index = _fitted(spark, sf)
+def _reducer(articles, method):
+    index = _fitted(articles)
     weights = vectors.index_weights(index)
     return index, reduce.hybrid_reducer(weights, reduce.sparse_rows(weights), method)
 
 
 @query
 def reducer_fit(spark, sf):
-    return reduce.component_table(spark, _reducer(spark, sf, "PCA")[1])
+    return reduce.component_table(spark, _reducer(_stored(spark, sf), "PCA")[1])
 
 
 @query
 def svd_explained_variance(spark, sf):
-    weights = vectors.tfidf(_docs(_articles(spark, sf)))
+    weights = vectors.tfidf(_docs(_stored(spark, sf)))
     rows = reduce.sparse_rows(weights)
     fitted = reduce.fit_reducer(rows, weights.n_docs, weights.vocab.count(), 10, "svd")
     table = reduce.component_table(spark, fitted)
     return table.select("component", "singular_value", "explained_variance_ratio")
 
 
-def _reduced_new(spark, sf):
-    index, fitted = _reducer(spark, sf, "SVD")
-    new = _docs(_unlabelled(spark, sf))
+def _reduced_new(articles):
+    index, fitted = _reducer(articles, "SVD")
+    new = _docs(_unlabelled(articles))
     found = reduce.to_vectors(bm25.transform(index, new), "weight")
     return reduce.project(reduce.with_empty(found, new), fitted)
 
 
 @query
 def reduce_new_documents(spark, sf):
-    return _reduced_new(spark, sf)
+    return _reduced_new(_stored(spark, sf))
 
 
 @query
 def hybrid_payload(spark, sf):
-    return detect.hybrid_payload(_reduced_new(spark, sf), _docs(_unlabelled(spark, sf)), "any-model")
+    articles = _stored(spark, sf)
+    return detect.hybrid_payload(_reduced_new(articles), _docs(_unlabelled(articles)), "any-model")
+
+
+def _points(spark, sf, k, method, by_source=False):
+    articles = _stored(spark, sf)
+    reduced = reduce.reduce_dimensions(vectors.tfidf(_docs(articles)), k, method)
+    return reduce.plot_points(reduced, _prepared(articles), by_source)
 
 
 @query
 def embedding_points(spark, sf):
-    return reduce.plot_points(svd_reduce(spark, sf), _prepared(spark, sf))
+    return _points(spark, sf, 2, "svd")
 
 
 @query
 def embedding_points_by_source(spark, sf):
-    return reduce.plot_points(pca_reduce(spark, sf), _prepared(spark, sf), by_source=True)
+    return _points(spark, sf, 3, "pca", by_source=True)
 
 
 @query
@@ -648,7 +673,7 @@ def stream_ingest(spark, sf):
 def stream_index_update(spark, sf):
     """An index of the labelled articles takes in the stream of the others."""
     path, checkpoint = scratch_path(spark, "index"), scratch_path(spark, "stream")
-    index_store.save_index(_fitted(spark, sf), path)
+    index_store.save_index(_fitted(_stored(spark, sf)), path)
     labels = _table(spark, sf, "labels").select("doc_id")
     new = _document_stream(spark, sf).join(labels, "doc_id", "left_anti")
     docs = new.select("doc_id", clean_text(F.col("text")).alias("text"))
