@@ -134,31 +134,33 @@ def _hits(found: DataFrame) -> DataFrame:
     )
 
 
-def query_topk(
-    index: BM25Index,
-    queries: DataFrame,
-    k: int = 10,
-    n_queries: int | None = None,
-    pad_zero: bool = False,
+def vector_topk(
+    index: BM25Index, vectors: DataFrame, n_queries: int, k: int = 10, pad_zero: bool = False
 ) -> DataFrame:
-    """``query_id, doc_id, rank, score``: the k best documents of every query.
-
-    Only positive scores by default. ``pad_zero`` fills up with the lowest document
-    ids of score 0 (for queries that have a known term), as a plain array top-k does.
-    """
-    n_queries = queries.count() if n_queries is None else n_queries
-    vectors = query_vectors(index, queries)
+    """``query_id, doc_id, rank, score`` of query vectors (``id, vec``)."""
     documents = document_vectors(index)
     if pad_zero:
+        empty = F.array().cast("array<struct<i:int,v:double>>")
         documents = (
             index.corpus.select(F.col("doc_id").alias("id"))
             .join(documents, "id", "left")
-            .select("id", F.coalesce("vec", F.array().cast("array<struct<i:int,v:double>>")).alias("vec"))
+            .select("id", F.coalesce("vec", empty).alias("vec"))
         )
     found = topk_dot(vectors, documents, k, n_queries, index.n_docs, positive_only=not pad_zero)
     return _hits(found)
 
 
+def query_topk(
+    index: BM25Index, queries: DataFrame, k: int = 10, pad_zero: bool = False
+) -> DataFrame:
+    """``query_id, doc_id, rank, score``: the k best documents of every query text.
+
+    Only positive scores by default. ``pad_zero`` fills up with the lowest document
+    ids of score 0 (for queries that have a known term), as a plain array top-k does.
+    """
+    return vector_topk(index, query_vectors(index, queries), queries.count(), k, pad_zero)
+
+
 def self_topk(index: BM25Index, k: int = 10) -> DataFrame:
     """Every indexed document as a query against all indexed documents."""
     cells = postings(index)
