@@ -179,12 +179,15 @@ def reduce_dimensions(weights: Weights, k: int = 2, method: str = "svd") -> Data
 def hybrid_reducer(
     weights: Weights, rows: DataFrame, method: str = "SVD", n_components: int = HYBRID_DIMENSIONS
 ) -> Reducer:
-    """Reducer of the hybrid detector. The t-SNE choice keeps only its SVD."""
+    """Reducer of the hybrid detector.
+
+    The t-SNE choice keeps only its SVD; UMAP, whose layout is not built, falls back to SVD.
+    """
     n_features = weights.vocab.count()
     k = max(1, min(n_components, n_features - 1, weights.n_docs - 1))
     if method == "t-SNE":
         k = max(1, min(TSNE_DIMENSIONS, n_features - 1))
-    kinds = {"SVD": "svd", "PCA": "pca", "t-SNE": "svd"}
+    kinds = {"SVD": "svd", "PCA": "pca", "UMAP": "svd", "t-SNE": "svd"}
     if method not in kinds:
         raise ValueError(f"unknown method {method!r}: use one of {sorted(kinds)}")
     return fit_reducer(rows, weights.n_docs, n_features, k, kinds[method])

@@ -76,12 +76,12 @@ def choose_vocabulary(
     (equal counts: alphabetical order).
     """
     valid = stats.where((F.col("df") >= min_df) & (F.col("df") <= int(n_docs * max_df)))
-    if max_features:
-        top = valid.orderBy(F.desc("cf"), "term").limit(max_features)
-        # at most max_features rows, so one task may number them
-        numbered = top.withColumn("term_id", F.row_number().over(W.orderBy("term")) - 1)
+    kept = valid.orderBy(F.desc("cf"), "term").limit(max_features) if max_features else valid
+    if max_features and max_features <= BROADCAST_TERMS:
+        # few enough rows for one task to number them
+        numbered = kept.withColumn("term_id", F.row_number().over(W.orderBy("term")) - 1)
     else:
-        numbered = dense_index(valid, ["term"], "term_id")
+        numbered = dense_index(kept, ["term"], "term_id")
     return numbered.select(F.col("term_id").cast("int").alias("term_id"), "term", "df", "cf")
 
 

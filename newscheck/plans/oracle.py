@@ -340,6 +340,36 @@ FROM events""",
 WITH {_STOPWORDS}, cleaned AS (
   SELECT conv_id * 1000 + turn AS doc_id, {_clean("text")} AS text FROM conversations)
 SELECT doc_id, {_WITHOUT} AS text FROM cleaned, stop_list""",
+    "segment_words": f"""
+WITH RECURSIVE {ARTICLES},
+split_words AS (
+  SELECT doc_id, list_filter(string_split(text, ' '), lambda w: w <> '') AS w FROM every_doc),
+lexicon AS (
+  SELECT gram FROM (
+    SELECT doc_id, w[i] || '_' || w[i + 1] AS gram
+    FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM split_words)
+    UNION ALL
+    SELECT doc_id, w[i] || '_' || w[i + 1] || '_' || w[i + 2]
+    FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM split_words))
+  GROUP BY gram HAVING count(DISTINCT doc_id) >= 5),
+places AS (
+  SELECT doc_id, i, w[i] AS one, w[i] || '_' || w[i + 1] AS two,
+         w[i] || '_' || w[i + 1] || '_' || w[i + 2] AS three,
+         w[i] || '_' || w[i + 1] || '_' || w[i + 2] || '_' || w[i + 3] AS four
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM split_words)),
+longest AS (
+  SELECT p.doc_id, p.i, coalesce(d.gram, c.gram, b.gram, p.one) AS word,
+         CASE WHEN d.gram IS NOT NULL THEN 4 WHEN c.gram IS NOT NULL THEN 3
+              WHEN b.gram IS NOT NULL THEN 2 ELSE 1 END AS size
+  FROM places p LEFT JOIN lexicon b ON b.gram = p.two LEFT JOIN lexicon c ON c.gram = p.three
+  LEFT JOIN lexicon d ON d.gram = p.four),
+walk AS (
+  SELECT doc_id, i, size, word FROM longest WHERE i = 1
+  UNION ALL
+  SELECT l.doc_id, l.i, l.size, l.word
+  FROM walk k JOIN longest l ON l.doc_id = k.doc_id AND l.i = k.i + k.size)
+SELECT e.doc_id, coalesce(string_agg(k.word, ' ' ORDER BY k.i), '') AS text
+FROM every_doc e LEFT JOIN walk k ON k.doc_id = e.doc_id GROUP BY e.doc_id""",
     "extract_page_fields": f"""
 WITH {_PAGE_TEXT}
 SELECT t.page_id, t.title, t.url, p.text AS summary, CAST(NULL AS VARCHAR) AS date_text
@@ -355,6 +385,11 @@ SELECT id, text_length, word_count, CAST(year(crawled_at) AS INTEGER) AS year,
        CAST(month(crawled_at) AS INTEGER) AS month, CAST(day(crawled_at) AS INTEGER) AS day,
        dayname(crawled_at) AS day_of_week, is_fake FROM prepared"""
     ),
+    "load_for_analysis": _articles(
+        """
+SELECT id, source, crawled_at, is_fake, word_count, text_length FROM prepared
+WHERE crawled_at >= TIMESTAMP '2024-01-03 12:00:00' AND source IN ('src2', 'src4')"""
+    ),
     "summary_stats": _articles(
         """
 SELECT count(id) AS total_articles, count(*) FILTER (is_fake) AS fake_news,

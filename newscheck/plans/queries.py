@@ -294,6 +294,13 @@ def prepare_for_analysis(spark, sf):
     )
 
 
+@query
+def load_for_analysis(spark, sf):
+    chosen = {"start_date": dt.datetime(2024, 1, 3, 12), "sources": ["src2", "src4"]}
+    loaded = art.load_for_analysis(_articles(spark, sf), TEXT, **chosen)
+    return loaded.select("id", "source", "crawled_at", "is_fake", "word_count", "text_length")
+
+
 @query
 def summary_stats(spark, sf):
     return profile.summary_stats(_articles(spark, sf))

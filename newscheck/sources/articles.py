@@ -66,9 +66,10 @@ def articles_from_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("string").alias("summary"),
         F.col("text").alias("content"),
         F.lit(None).cast("timestamp_ntz").alias("published_at"),
-        F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, cast(doc_id as int))").alias(
-            "crawled_at"
-        ),
+        F.expr(
+            "timestamp_ntz'2024-01-01 00:00:00'"
+            " + make_dt_interval(cast(doc_id div 24 as int), cast(doc_id % 24 as int))"
+        ).alias("crawled_at"),
         (F.col("toxic") == 1).alias("is_fake"),
         clean_text(F.col("text")).alias("normalized_content"),
     )
@@ -108,7 +109,8 @@ def scan_by_id(articles: DataFrame) -> DataFrame:
 
 def labelled_articles(articles: DataFrame, text: str = "normalized_content") -> DataFrame:
     """Rows with a label and a text that is not blank; the label as 0/1."""
-    return articles.where(F.col("is_fake").isNotNull() & (F.trim(F.col(text)) != "")).withColumn(
+    has_text = F.col(text).rlike(r"(?U)\S")
+    return articles.where(F.col("is_fake").isNotNull() & has_text).withColumn(
         "is_fake", F.col("is_fake").cast("int")
     )
 
@@ -129,6 +131,11 @@ def prepare_for_analysis(articles: DataFrame, text: str = "normalized_content")
     )
 
 
+def load_for_analysis(articles: DataFrame, text: str = "normalized_content", **filters) -> DataFrame:
+    """Filtered articles (see ``filter_articles``), prepared for analysis."""
+    return prepare_for_analysis(filter_articles(articles, **filters), text)
+
+
 def valid_articles(articles: DataFrame) -> DataFrame:
     """Rows the article table can hold: a title, and no field over its width."""
     fits = F.col("title").isNotNull()
