@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from newscheck.operators.terms import dense_index
+from newscheck.session import materialize
 from newscheck.sources.articles import ARTICLE_SCHEMA, KEY
 
 
@@ -61,9 +62,21 @@ def append_keep_last(
     return dedup_latest(both.where(F.col("content").isNotNull()), sequence, keys)
 
 
+def _not_stored(records: DataFrame, stored: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Records whose key is not stored. A NULL in a key matches nothing.
+
+    The stored keys are first cut down to those of the batch. For that semi-join Spark
+    may broadcast the batch, if it is small, so a large store is only scanned; in an
+    anti-join alone it could only broadcast the store and would shuffle it instead.
+    """
+    keys = list(keys)
+    seen = stored.select(*keys).join(records.select(*keys), keys, "left_semi")
+    return records.join(seen, keys, "left_anti")
+
+
 def skip_known_urls(records: DataFrame, known: DataFrame) -> DataFrame:
     """Records whose url is not stored yet; a missing url is never known."""
-    return records.join(known.select("url"), "url", "left_anti")
+    return _not_stored(records, known, ["url"])
 
 
 def required_fields(records: DataFrame, names: Sequence[str] = ("title", "url")) -> DataFrame:
@@ -83,11 +96,6 @@ def tag_by_source(records: DataFrame, rules: DataFrame, crawled_at: Column | Non
     return records.join(rules, "site", "left").drop("site").withColumn("crawled_at", at)
 
 
-def _matches() -> Column:
-    """Key equality of target ``t`` and batch ``s``. A NULL key matches nothing."""
-    return (F.col("t.url") == F.col("s.url")) & (F.col("t.title") == F.col("s.title"))
-
-
 def _next_id(target: DataFrame) -> int:
     return (target.agg(F.max("id")).first()[0] or 0) + 1
 
@@ -104,9 +112,11 @@ def merge_articles(
     """
     if mode not in ("upsert", "ignore"):
         raise ValueError("mode must be 'upsert' or 'ignore'")
-    staged = dedup_latest(stage(batch, keep=[sequence]), sequence).drop(sequence)
+    # a staging table, since the batch is joined three times below
+    unique = dedup_latest(stage(batch, keep=[sequence]), sequence).drop(sequence)
+    staged = materialize(unique, "staged")
     given = [c for c in staged.columns if c not in KEY]
-    fresh = staged.alias("s").join(target.select(*KEY).alias("t"), _matches(), "left_anti")
+    fresh = _not_stored(staged, target, KEY)
     added = dense_index(fresh, [*KEY], "id", start=_next_id(target))
     if mode == "ignore":
         kept = target
@@ -119,7 +129,9 @@ def merge_articles(
             for c in target.columns
         ]
         marked = staged.withColumn("_found", F.lit(True))
-        kept = target.alias("t").join(marked.alias("s"), _matches(), "left").select(*columns)
+        # a NULL in a key matches nothing
+        same = (F.col("t.url") == F.col("s.url")) & (F.col("t.title") == F.col("s.title"))
+        kept = target.alias("t").join(marked.alias("s"), same, "left").select(*columns)
     return kept.unionByName(added, allowMissingColumns=True)
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from newscheck.operators.ingest import dedup_first, required_fields, skip_known_urls, stage
+from newscheck.session import materialize
 from newscheck.sources.articles import ARTICLE_SCHEMA
 from newscheck.sources.index_store import append_batch
 
@@ -35,6 +36,7 @@ def write_batch(records: DataFrame, target: str, batch: int) -> None:
     staged = required_fields(stage(records, keep=["sequence"]))
     fresh = dedup_first(staged, "sequence").drop("sequence")
     if batch > 0:
+        fresh = materialize(fresh, "batch")  # joined twice
         known = read_ingested(records.sparkSession, target).where(F.col("batch") < batch)
         fresh = skip_known_urls(fresh, known)
     columns = [

@@ -26,6 +26,8 @@ def _sorted(rows):
 @pytest.mark.parametrize("name", sorted(oracle_sql()))
 def test_query_equals_sql(spark, duck, sf_dir, name):
     ours = queries()[name](spark, sf_dir)
+    plan = ours._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
     columns = sorted(ours.columns)
     cursor = duck.execute(oracle_sql()[name])
     names = [d[0] for d in cursor.description]
