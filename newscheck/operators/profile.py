@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from newscheck.functions.labels import FAKE, REAL, UNLABELLED
 from newscheck.functions.text import text_length, word_count
+from newscheck.session import materialize
 
 # Bins of the length histogram, grid points of the density curve,
 # documents per part of a joined text.
@@ -105,8 +106,9 @@ def source_label_crosstab(prepared: DataFrame) -> DataFrame:
 
 
 def _length_counts(prepared: DataFrame) -> DataFrame:
-    """Rows per label and word count: everything a distribution needs."""
-    return prepared.groupBy("is_fake", "word_count").agg(F.count("*").alias("n"))
+    """Rows per label and word count: everything a distribution needs, so texts are read once."""
+    counts = prepared.groupBy("is_fake", "word_count").agg(F.count("*").alias("n"))
+    return materialize(counts, "lengths")
 
 
 def length_histogram(prepared: DataFrame, bins: int = BINS) -> DataFrame:
