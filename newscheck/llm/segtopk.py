@@ -52,7 +52,7 @@ def search_block(qid: np.ndarray, q: np.ndarray, xid: np.ndarray, x: np.ndarray,
     for low in range(0, len(q), _CHUNK):
         coarse = levels[0][0][low : low + _CHUNK] @ levels[0][1].T
         for i, bound in enumerate(coarse, low):
-            bound[xid == qid[i]] = -np.inf
+            bound[xid == qid[i]] = -1e300
             seeds = np.argpartition(-bound, min(SEEDS, len(x) - 1))[:SEEDS] if len(x) > SEEDS else np.arange(len(x))
             seeds = seeds[xid[seeds] != qid[i]]
             reached = np.sort(exact(q[i], x[seeds], small))[::-1]
