@@ -119,3 +119,12 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 WHERE rank <= 5
 """
+
+
+@_query
+def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from newscheck.llm import substring
+
+    done = substring.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    return done.select("doc_id", "n_words", "n_removed", F.sha2(F.array_join(words, " "), 256).alias("kept_sha256"))
