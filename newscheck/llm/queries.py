@@ -128,3 +128,10 @@ def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = substring.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
     return done.select("doc_id", "n_words", "n_removed", F.sha2(F.array_join(words, " "), 256).alias("kept_sha256"))
+
+
+@_query
+def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from newscheck.llm import jaccard
+
+    return jaccard.similar_classes(_table(spark, sf_dir, "documents"), words=4, percent=85)
