@@ -88,7 +88,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.
     size = np.minimum(n[text], words)
     for j in range(words):
         inside = j < size
-        g += np.where(inside, padded[at + j], np.uint64(0)) * np.uint64((2 * j + 1) * 0x9FB21C651E98DF25 & (1 << 64) - 1 | 1)
+        g += np.where(inside, padded[at + j], np.uint64(0)) * np.uint64(pow(0x9FB21C651E98DF25, j + 1, 1 << 64))
     g = A.mix(g + size.astype(np.uint64))
     order = np.lexsort((g, text))
     g, text = g[order], text[order]

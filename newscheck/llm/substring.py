@@ -44,7 +44,7 @@ def _anchors(data: np.ndarray, offsets: np.ndarray, window: int, anchor: int):
     h = A.span_hashes(data, starts, ends)
     g = np.zeros(len(h) - anchor + 1, np.uint64)
     for j in range(anchor):
-        g += h[j : j + len(g)] * np.uint64(2 * j * 0x9E3779B97F4A7C15 + 0x9FB21C651E98DF25 & (1 << 64) - 1)
+        g += h[j : j + len(g)] * np.uint64(pow(0x9FB21C651E98DF25, j + 1, 1 << 64))
     g = A.mix(g)
     least, place = g[windows], windows.copy()
     for j in range(1, window - anchor + 1):
