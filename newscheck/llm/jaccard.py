@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from newscheck.llm import arrays as A
 from newscheck.llm.components import components
 from newscheck.llm.substring import release
-from newscheck.session import materialize
+from newscheck.session import discard, materialize
 
 # Documents of a candidate family that are compared in one task.
 BLOCK = 3_000
@@ -52,7 +52,7 @@ class Rule:
         high = self.partner(first)
         total = high + self.partner(high)
         differ = total * (100 - self.percent) // (100 + self.percent)
-        return differ, differ + 1 + max(1, math.ceil(differ / 10))
+        return differ, differ + 2 + differ // 25
 
     def light_sizes(self, size: int) -> list[int]:
         """Sizes of the subsets that a light set of ``size`` lists."""
@@ -170,7 +170,7 @@ def join_keys(sets: np.ndarray, begin: np.ndarray, rule: Rule) -> tuple[np.ndarr
 
 
 def _rows(rule: Rule):
-    """Batches of ``d, text`` to rows ``route, kind, d, other, n``.
+    """Batches of ``d, text`` to rows ``route, d, tag, other``; ``tag`` holds the kind and a set size.
 
     One row for each document (size of its set; equal sets of the batch point to the
     first), and the keys of distinct sets. Sets of the batch with the same key are tied to the
@@ -208,16 +208,19 @@ def _rows(rule: Rule):
             alone = lambda d, x: A.mix(A.mix(d.astype(np.uint64)) + x.astype(np.uint64))
             route = [k[head], digest[main], alone(ids[copy], copy), alone(ids[tied[:, 0]], ids[tied[:, 1]])]
             d = [ids[w[head]], ids[main], ids[copy], ids[tied[:, 0]]]
-            other = [ids[w[head]], ids[main], ids[same[copy]], ids[tied[:, 1]]]
+            none = lambda x: np.zeros(len(x), np.int64)
+            other = [none(w[head]), none(main), ids[same[copy]], ids[tied[:, 1]]]
             n = [np.zeros(head.sum(), np.int64), size[main], size[copy], np.zeros(len(tied), np.int64)]
             kind = np.repeat([_KEY, _DOC, _SAME, _EDGE], [len(x) for x in d])
+            tag = 4 * np.concatenate(n) + kind
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.concatenate(route).view(np.int64)),
-                    pa.array(kind, pa.int32()),
-                    *[pa.array(np.concatenate(x), pa.int64()) for x in (d, other, n)],
+                    pa.array(np.concatenate(d), pa.int64()),
+                    pa.array(tag, pa.int64()),
+                    pa.array(np.concatenate(other), pa.int64()),
                 ],
-                ["route", "kind", "d", "other", "n"],
+                ["route", "d", "tag", "other"],
             )
 
     return run
@@ -231,11 +234,10 @@ def _family_sets(words: int):
                 part = batch.slice(low, high - low)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column("family"),
-                        part.column("d"),
+                        *[part.column(c) for c in ("family", "m", "head", "d")],
                         pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(sets.view(np.int64))),
                     ],
-                    ["family", "d", "s"],
+                    ["family", "m", "head", "d", "s"],
                 )
 
     return run
@@ -336,23 +338,28 @@ def similar_classes(docs: DataFrame, words: int = 5, percent: int = 80, block: i
         raise ValueError("words is at least 1, percent above 50 and at most 100")
     rule = Rule(words, percent)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("d"), "text")
-    over = Window.partitionBy("route", "kind")
-    made = rows.mapInArrow(_rows(rule), "route long, kind int, d long, other long, n long")
-    tied = made.withColumn("other", F.when(F.col("kind") <= _DOC, F.min("d").over(over)).otherwise(F.col("other")))
-    tied = tied.where((F.col("kind") == _DOC) | (F.col("kind") == _SAME) | (F.col("d") != F.col("other"))).drop("route")
-    # a document has many keys in common with the same other one
+    kind = (F.col("tag") % 4).alias("kind")
+    over = Window.partitionBy("route", F.col("tag") % 4)
+    made = rows.mapInArrow(_rows(rule), "route long, d long, tag long, other long")
+    tied = made.select("d", kind, F.floor(F.col("tag") / 4).alias("n"), "other", F.min("d").over(over).alias("low"))
+    tied = tied.withColumn("other", F.when(F.col("kind") <= _DOC, F.col("low")).otherwise(F.col("other")))
+    tied = tied.where((F.col("kind") == _DOC) | (F.col("kind") == _SAME) | (F.col("d") != F.col("other"))).drop("low")
     tied = materialize(tied, "ties")
     release(docs.sparkSession)
     sizes = tied.where(F.col("kind").isin(_DOC, _SAME)).select("d", "n")
     equal = tied.where(F.col("kind").isin(_DOC, _SAME) & (F.col("d") != F.col("other"))).select(F.col("d").alias("a"), F.col("other").alias("b"))
     maybe = tied.where(F.col("kind").isin(_KEY, _EDGE)).select(F.col("d").alias("a"), F.col("other").alias("b")).distinct()
-    family = components(maybe).select(F.col("node").alias("d"), F.col("root").alias("family"))
-    sets = materialize(rows.join(family, "d").select("family", "d", "text").mapInArrow(_family_sets(words), "family long, d long, s array<long>"), "sets")
+    nodes = components(maybe)
+    counted = nodes.groupBy("root").agg(F.count("*").alias("m"), F.min("node").alias("head"))
+    family = nodes.join(counted, "root").select(F.col("node").alias("d"), F.col("root").alias("family"), "m", "head")
+    # families grow with the input, so they are not broadcast at any size
+    family = materialize(family, "families")
+    held = rows.join(family.hint("merge"), "d").select("family", "m", "head", "d", "text")
+    sets = materialize(held.mapInArrow(_family_sets(words), "family long, m long, head long, d long, s array<long>"), "sets")
     release(docs.sparkSession)
-    counted = sets.groupBy("family").agg(F.count("*").alias("m"), F.min("d").alias("head"))
-    small = sets.join(counted.where(F.col("m") <= block), "family").select(F.col("family").alias("place"), "d", "s", F.lit(True).alias("probe"))
+    small = sets.where(F.col("m") <= block).select(F.col("family").alias("place"), "d", "s", F.lit(True).alias("probe"))
     # large families: first against one member
-    large = sets.join(counted.where(F.col("m") > block), "family")
+    large = sets.where(F.col("m") > block)
     head = large.where("d = head").groupBy("family").agg(F.first("s").alias("h"))
     common = F.size(F.array_intersect("s", "h"))
     close = common * 100 >= (F.size("s") + F.size("h") - common) * percent
@@ -369,6 +376,8 @@ def similar_classes(docs: DataFrame, words: int = 5, percent: int = 80, block: i
     found = small.union(blocks).repartition("place").sortWithinPartitions("place", "d").mapInArrow(_links(percent), "a long, b long")
     stars = tested.where("close and d <> head").select(F.col("d").alias("a"), F.col("head").alias("b"))
     roots = components(found.union(stars).union(equal))
+    discard(sets, family, tested)
+    release(docs.sparkSession)
     reached = F.coalesce("root", "d")
     return sizes.join(roots, sizes["d"] == roots["node"], "left").select(
         F.when(F.col("d") != _LAST, F.col("d")).alias("doc_id"),

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from newscheck.llm import arrays as A
-from newscheck.session import materialize
+from newscheck.session import discard, materialize
 
 # Words of a window, and of the shingles that anchor it.
 WINDOW = 13
@@ -261,7 +261,9 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
     schema = "key long, passage string, earliest long, places array<struct<d:long,t:long,start:int>>"
     passages = materialize(marked.mapInArrow(_passages(window, anchor), schema), "passages")
     release(spark)
+    # written, so that Spark knows its size and moves the passages only if it must
     crowded = passages.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= hot).select("key", F.lit(True).alias("crowded"))
+    crowded = materialize(crowded, "crowded")
     dealt = passages.join(crowded, "key", "left")
     words = F.split("passage", " ")
     single = F.transform(
@@ -279,7 +281,11 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
         .sortWithinPartitions("route", "earliest")
         .mapInArrow(_matches(window), "d long, t long, starts array<int>")
     )
-    return found.groupBy("d", "t").agg(F.array_distinct(F.flatten(F.collect_list("starts"))).alias("starts"))
+    gone = found.groupBy("d", "t").agg(F.array_distinct(F.flatten(F.collect_list("starts"))).alias("starts"))
+    gone = materialize(gone, "repeats")
+    discard(shared, passages, crowded)
+    release(spark)
+    return gone
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, hot: int = HOT) -> DataFrame:
@@ -293,8 +299,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     others. Rows of one ``doc_id`` do not take from each other. Columns named like the
     two counts are replaced. An empty table gives no rows.
     """
-    gone = materialize(repeated_windows(docs, window, anchor, hot), "repeats")
-    release(docs.sparkSession)
+    gone = repeated_windows(docs, window, anchor, hot)
     added = ["n_words", "n_removed"]
     kept = [c for c in docs.columns if c not in added]
     own = {c: f"_{c}" + "_" * max(map(len, docs.columns)) for c in ("d", "t", "starts")}  # clash with no column
