@@ -55,10 +55,16 @@ class _Element:
         self.tag, self.attributes, self.children = tag, attributes, []
 
     def walk(self) -> Iterator[_Element | str]:
-        for child in self.children:
+        """All below in the order of the page; without recursion, so that depth does not matter."""
+        open_lists = [iter(self.children)]
+        while open_lists:
+            child = next(open_lists[-1], None)
+            if child is None:
+                open_lists.pop()
+                continue
             yield child
             if isinstance(child, _Element):
-                yield from child.walk()
+                open_lists.append(iter(child.children))
 
     def find_all(self, wanted: Selector) -> Iterator[_Element]:
         return (e for e in self.walk() if isinstance(e, _Element) and e.matches(wanted))

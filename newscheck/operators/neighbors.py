@@ -12,10 +12,15 @@ NEIGHBOURS = 15
 
 
 def _unit(vector: str) -> Column:
-    values = F.transform(vector, lambda v: v.cast("double"))
+    """Components over the length; null and NaN ones are 0, and so is all of a zero or null vector."""
+    values = F.transform(
+        F.coalesce(vector, F.array().cast("array<double>")),
+        lambda v: F.nanvl(F.coalesce(v.cast("double"), F.lit(0.0)), F.lit(0.0)),
+    )
     length = F.sqrt(F.aggregate(values, F.lit(0.0), lambda s, v: s + v * v))
     return F.transform(
-        values, lambda v, i: F.struct(i.alias("i"), (v / F.nullif(length, F.lit(0.0))).alias("v"))
+        values,
+        lambda v, i: F.struct(i.alias("i"), F.coalesce(v / F.nullif(length, F.lit(0.0)), F.lit(0.0)).alias("v")),
     )
 
 

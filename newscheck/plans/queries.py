@@ -219,7 +219,7 @@ def tag_by_source(spark, sf):
             F.coalesce(F.bool_or(F.col("toxic") == 1), F.lit(False)).alias("is_fake"),
         )
     )
-    at = F.lit(dt.datetime(2025, 1, 7, 8, 5, 9)).cast("timestamp_ntz")
+    at = F.lit("2025-01-07T08:05:09").cast("timestamp_ntz")
     return ingest.tag_by_source(documents, rules, at)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -75,6 +75,13 @@ def articles_from_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _local(when: dt.date) -> Column:
+    """The same wall-clock time, in whatever zone the process or the session runs."""
+    if isinstance(when, dt.datetime):
+        when = when.replace(tzinfo=None)
+    return F.lit(when.isoformat()).cast("timestamp_ntz")
+
+
 def filter_articles(
     articles: DataFrame,
     start_date: dt.datetime | None = None,
@@ -87,13 +94,12 @@ def filter_articles(
     A plain ``date`` as end means the whole of that day.
     """
     if start_date:
-        articles = articles.where(F.col("crawled_at") >= F.lit(start_date).cast("timestamp_ntz"))
+        articles = articles.where(F.col("crawled_at") >= _local(start_date))
     if end_date:
         if isinstance(end_date, dt.datetime):
-            in_time = F.col("crawled_at") <= F.lit(end_date).cast("timestamp_ntz")
+            in_time = F.col("crawled_at") <= _local(end_date)
         else:
-            after = F.lit(end_date + dt.timedelta(days=1)).cast("timestamp_ntz")
-            in_time = F.col("crawled_at") < after
+            in_time = F.col("crawled_at") < _local(end_date + dt.timedelta(days=1))
         articles = articles.where(in_time)
     if sources:
         articles = articles.where(F.col("source").isin(list(sources)))

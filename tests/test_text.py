@@ -22,19 +22,24 @@ CASES = [
 ]
 
 
-def _clean(s):
-    s = re.sub(r"http\S+|www\.\S+", "", s)
-    s = re.sub(r"[^\w\s\d]", "", s)
-    return re.sub(r"\s+", " ", s).strip()
-
-
 def _column(spark, values, expression):
     df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, t string")
     return [r[0] for r in df.orderBy("i").select(expression(F.col("t"))).collect()]
 
 
 def test_clean_text(spark):
-    assert _column(spark, CASES, text.clean_text) == [_clean(c) for c in CASES]
+    assert _column(spark, CASES, text.clean_text) == [
+        "see now",
+        "mid word",
+        "go end",
+        "ab c_d",
+        "tiếng_việt có dấu",
+        "12 ½ x",
+        "no break and lines",
+        "",
+        "",
+        "plain",
+    ]
     assert _column(spark, [None], text.clean_text) == [None]
 
 
@@ -87,7 +92,7 @@ def test_stopwords_both_ways(spark, monkeypatch):
     literal = {r.doc_id: r.text for r in segment.remove_stopwords(docs, stop).collect()}
     monkeypatch.setattr(segment, "LITERAL_WORDS", 1)
     joined = {r.doc_id: r.text for r in segment.remove_stopwords(docs, stop).collect()}
-    assert literal[1] == joined[1] == expected[1] and literal[2] == joined[2] == ""
+    assert literal == joined == expected
 
 
 def _greedy(words, lexicon):
