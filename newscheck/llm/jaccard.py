@@ -18,7 +18,9 @@ from newscheck.llm.substring import release
 from newscheck.session import discard, materialize
 
 # Documents of a candidate family that are compared in one task.
-BLOCK = 3_000
+BLOCK = 8_000
+# A shingle is common if so large a share of the documents has it.
+COMMON = 0.0003
 # What opening a list costs, in keys.
 OPENING = 2
 _LAST = (1 << 63) - 1  # stands for a null id
@@ -106,15 +108,52 @@ def _sums(values: np.ndarray, begin: np.ndarray) -> np.ndarray:
     return out
 
 
-def join_keys(sets: np.ndarray, begin: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
+def _common(words: int, share: float):
+    """Batches of ``d, text`` to shingles that at least ``share`` of the batch has (and two), with counts.
+
+    A shingle that the share of all documents has is among them in some batch.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = [shingle_sets(data, offsets, words)[0] for _, _, data, offsets in A.pieces(*A.text_buffer(batch.column("text")))]
+            shingle, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *parts]), return_counts=True)
+            many = n >= max(2, share * len(batch))
+            yield pa.RecordBatch.from_arrays([pa.array(shingle[many].view(np.int64)), pa.array(n[many], pa.int64())], ["shingle", "n"])
+
+    return run
+
+
+def common_shingles(rows: DataFrame, words: int, share: float = COMMON) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of at least ``share`` of all rows, in order, and how many rows have them.
+
+    There are at most (shingles of a document on average) / ``share`` of them, whatever
+    the number of documents. They only decide which keys are drawn, not what links.
+    """
+    least = max(2, math.ceil(share * rows.count()))
+    found = rows.mapInArrow(_common(words, share), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    table = found.where(F.col("n") >= least).toArrow()
+    shingle, n = table.column("shingle").to_numpy().view(np.uint64), table.column("n").to_numpy()
+    order = np.argsort(shingle)
+    return shingle[order], n[order]
+
+
+def join_keys(
+    sets: np.ndarray, begin: np.ndarray, rule: Rule, common: tuple[np.ndarray, np.ndarray] | None = None
+) -> tuple[np.ndarray, np.ndarray]:
     """``(set number, key)``: every two sets that are similar enough have a key in common.
 
     Light sets list all subsets of the sizes that a similar set must share. Heavy ones
     are cut into parts by element hash, one more than may differ and some: a similar set
-    has a part in common, and that part is the key of an inverted list. If all parts in
-    common could be empty ones, elements of a prefix by hash are keys as well.
+    has a part in common, and that part is the key of an inverted list. Parts that are
+    empty or hold ``common`` elements only would make long lists and are no keys; where
+    all parts in common could be such, the elements of a prefix, rarest first, are keys.
     """
     size = np.diff(begin)
+    often = np.zeros(len(sets), np.int64)
+    if common is not None and len(common[0]):
+        place = np.minimum(np.searchsorted(common[0], sets), len(common[0]) - 1)
+        often = np.where(common[0][place] == sets, common[1][place], 0)
     boundary = rule.boundary()
     value = A.mix(sets ^ np.uint64(0x5851F42D4C957F2D))
     who, keys = [], []
@@ -149,19 +188,20 @@ def join_keys(sets: np.ndarray, begin: np.ndarray, rule: Rule) -> tuple[np.ndarr
             part = (spin >> np.uint64(33)) % k[r].astype(np.uint64)
             slot = at[r] + part.astype(np.int64)
             order = np.argsort(slot, kind="stable")
-            slot, held = slot[order], value[e][order]
+            slot, held, rare = slot[order], value[e][order], (often[e] == 0)[order]
             head = np.flatnonzero(np.append(True, slot[1:] != slot[:-1])) if len(slot) else np.zeros(0, np.int64)
             if not len(head):
                 continue
             used = slot[head]
             owner = np.searchsorted(at, used, "right") - 1
             tag = (used - at[owner]).astype(np.uint64) + (space[owner].astype(np.uint64) << np.uint64(32))
-            who.append(heavy[owner])
-            keys.append(A.mix(np.add.reduceat(held, head) + A.mix(tag + np.uint64(1 << 50))))
-            empty = k - np.bincount(owner, minlength=len(heavy))
-            for i in np.flatnonzero(on & (empty >= k - differ)):
-                n = size[heavy[i]]
-                prefix = np.sort(value[begin[heavy[i]] : begin[heavy[i] + 1]])[: n - rule.least(n) + 1]
+            strong = np.logical_or.reduceat(rare, head)
+            who.append(heavy[owner[strong]])
+            keys.append(A.mix(np.add.reduceat(held, head) + A.mix(tag + np.uint64(1 << 50)))[strong])
+            weak = k - np.bincount(owner[strong], minlength=len(heavy))
+            for i in np.flatnonzero(on & (weak >= k - differ)):
+                n, own = size[heavy[i]], slice(begin[heavy[i]], begin[heavy[i] + 1])
+                prefix = value[own][np.lexsort((value[own], often[own]))][: n - rule.least(n) + 1]
                 who.append(np.full(len(prefix), heavy[i]))
                 keys.append(A.mix(prefix + np.uint64(1 << 60)))
     if not who:
@@ -169,7 +209,7 @@ def join_keys(sets: np.ndarray, begin: np.ndarray, rule: Rule) -> tuple[np.ndarr
     return np.concatenate(who), np.concatenate(keys)
 
 
-def _rows(rule: Rule):
+def _rows(rule: Rule, shared):
     """Batches of ``d, text`` to rows ``route, d, tag, other``; ``tag`` holds the kind and a set size.
 
     One row for each document (size of its set; equal sets of the batch point to the
@@ -191,7 +231,7 @@ def _rows(rule: Rule):
                 for i in range(low, high):
                     if size[i]:
                         same[i] = seen.setdefault((int(size[i]), int(digest[i])), i)
-                w, k = join_keys(sets, begin, rule)
+                w, k = join_keys(sets, begin, rule, shared.value)
                 new = same[low + w] == low + w
                 who.append(low + w[new])
                 keys.append(k[new])
@@ -325,7 +365,7 @@ def similar_classes(docs: DataFrame, words: int = 5, percent: int = 80, block: i
     (A-Z in lower case) is at least ``percent``; the component is the smallest id that
     links reach. Exact: candidates share a key of :func:`join_keys`, and are compared whole.
 
-    1. Keys are drawn from each text and shuffled; documents with the same key are tied to
+    1. Common shingles are counted. Keys are drawn from each text and shuffled; documents with the same key are tied to
     the first that has it. 2. Ties give families of candidates. 3. A family's sets meet in
     one task and are compared by inverted lists; in one larger than ``block`` all are first
     compared with one member, and those not similar to it with the others, in blocks.
@@ -340,7 +380,8 @@ def similar_classes(docs: DataFrame, words: int = 5, percent: int = 80, block: i
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("d"), "text")
     kind = (F.col("tag") % 4).alias("kind")
     over = Window.partitionBy("route", F.col("tag") % 4)
-    made = rows.mapInArrow(_rows(rule), "route long, d long, tag long, other long")
+    shared = docs.sparkSession.sparkContext.broadcast(common_shingles(rows, words))
+    made = rows.mapInArrow(_rows(rule, shared), "route long, d long, tag long, other long")
     tied = made.select("d", kind, F.floor(F.col("tag") / 4).alias("n"), "other", F.min("d").over(over).alias("low"))
     tied = tied.withColumn("other", F.when(F.col("kind") <= _DOC, F.col("low")).otherwise(F.col("other")))
     tied = tied.where((F.col("kind") == _DOC) | (F.col("kind") == _SAME) | (F.col("d") != F.col("other"))).drop("low")
