@@ -111,17 +111,21 @@ def pack(
     of a few numbers for each piece. A null text is only the end id; repeated rows and
     null ids are packed like others; an empty table gives no row. ``sequence_id`` is unique, not gapless.
     """
-    pieces = materialize(token_pieces(docs, tokenizer, capacity, end_id, keep_ids), "pieces")
+    made = token_pieces(docs, tokenizer, capacity, end_id, keep_ids).withColumn("piece", F.monotonically_increasing_id())
+    pieces = materialize(made, "pieces")
     groups = max(1, round(pieces.count() / group))
 
     def place(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "doc_id", "start", "salt"], ascending=[False, True, True, True])
+        pdf = pdf.sort_values(["length", "doc_id", "start", "piece"], ascending=[False, True, True, True])
         sequence, offset, cost = balance(pdf["length"].to_numpy(), capacity)
         pdf["sequence_id"] = pdf["g"] * (1 << 32) + sequence
         pdf["offset"], pdf["sequence_cost"] = offset, cost
         return pdf[names]
 
-    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "sequence_cost", *["ids"] * keep_ids]
-    schema = ", ".join(f"{n} {'double' if n == 'sequence_cost' else 'array<int>' if n == 'ids' else 'long'}" for n in names)
-    dealt = pieces.withColumn("g", F.pmod(F.xxhash64("doc_id", "start", "salt"), F.lit(groups)))
-    return dealt.groupBy("g").applyInPandas(place, schema)
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "sequence_cost", "piece"]
+    schema = ", ".join(f"{n} {'double' if n == 'sequence_cost' else 'long'}" for n in names)
+    dealt = pieces.drop("ids").withColumn("g", F.pmod(F.xxhash64("doc_id", "start", "salt"), F.lit(groups)))
+    placed = dealt.groupBy("g").applyInPandas(place, schema)
+    if keep_ids:  # ids do not pass through the groups' memory
+        placed = placed.join(pieces.select("piece", "ids"), "piece")
+    return placed.drop("piece")
