@@ -6,6 +6,7 @@ task needs memory for a piece (:data:`PIECE` bytes, or one longer text) and no m
 
 from __future__ import annotations
 
+import ctypes
 import sys
 from collections.abc import Callable, Iterator
 
@@ -30,6 +31,39 @@ def per_process(key: tuple, build: Callable):
     return kept[key[0]][1]
 
 
+def _give_back() -> None:
+    """Return freed memory to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def tidy(run: Callable, *kinds: str) -> Callable:
+    """``run`` for ``mapInArrow``, in a process that other stages have used before.
+
+    What :func:`per_process` keeps for them goes first (all but ``kinds``), and freed
+    memory goes back to the system after each batch: Python workers live on, and several
+    of them share an executor.
+    """
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = sys.__dict__.setdefault("_newscheck_llm", {})
+        for kind in [k for k in kept if k not in kinds]:
+            del kept[kind]
+
+        def watched() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch
+                del batch
+                _give_back()
+
+        yield from run(watched())
+        _give_back()
+
+    return tidied
+
+
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts in a row, and where each begins and the last ends (null: empty)."""
     if isinstance(column, pa.ChunkedArray):

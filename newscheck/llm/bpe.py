@@ -370,7 +370,7 @@ def encode_decode(docs: DataFrame, tokenizer: str) -> DataFrame:
                     ["doc_id", "ids", "decoded"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+    return docs.select("doc_id", "text").mapInArrow(A.tidy(run, "codec"), "doc_id long, ids array<int>, decoded string")
 
 
 def encoded_digests(docs: DataFrame, tokenizer: str) -> DataFrame:
@@ -399,5 +399,5 @@ def encoded_digests(docs: DataFrame, tokenizer: str) -> DataFrame:
                 )
 
     return docs.select("doc_id", "text").mapInArrow(
-        run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+        A.tidy(run, "codec"), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     )

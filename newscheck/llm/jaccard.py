@@ -131,7 +131,7 @@ def common_shingles(rows: DataFrame, words: int, share: float = COMMON) -> tuple
     the number of documents. They only decide which keys are drawn, not what links.
     """
     least = max(2, math.ceil(share * rows.count()))
-    found = rows.mapInArrow(_common(words, share), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    found = rows.mapInArrow(A.tidy(_common(words, share), "powers"), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
     table = found.where(F.col("n") >= least).toArrow()
     shingle, n = table.column("shingle").to_numpy().view(np.uint64), table.column("n").to_numpy()
     order = np.argsort(shingle)
@@ -381,7 +381,7 @@ def similar_classes(docs: DataFrame, words: int = 5, percent: int = 80, block: i
     kind = (F.col("tag") % 4).alias("kind")
     over = Window.partitionBy("route", F.col("tag") % 4)
     shared = docs.sparkSession.sparkContext.broadcast(common_shingles(rows, words))
-    made = rows.mapInArrow(_rows(rule, shared), "route long, d long, tag long, other long")
+    made = rows.mapInArrow(A.tidy(_rows(rule, shared), "powers"), "route long, d long, tag long, other long")
     tied = made.select("d", kind, F.floor(F.col("tag") / 4).alias("n"), "other", F.min("d").over(over).alias("low"))
     tied = tied.withColumn("other", F.when(F.col("kind") <= _DOC, F.col("low")).otherwise(F.col("other")))
     tied = tied.where((F.col("kind") == _DOC) | (F.col("kind") == _SAME) | (F.col("d") != F.col("other"))).drop("low")
@@ -396,7 +396,7 @@ def similar_classes(docs: DataFrame, words: int = 5, percent: int = 80, block: i
     # families grow with the input, so they are not broadcast at any size
     family = materialize(family, "families")
     held = rows.join(family.hint("merge"), "d").select("family", "m", "head", "d", "text")
-    sets = materialize(held.mapInArrow(_family_sets(words), "family long, m long, head long, d long, s array<long>"), "sets")
+    sets = materialize(held.mapInArrow(A.tidy(_family_sets(words), "powers"), "family long, m long, head long, d long, s array<long>"), "sets")
     release(docs.sparkSession)
     small = sets.where(F.col("m") <= block).select(F.col("family").alias("place"), "d", "s", F.lit(True).alias("probe"))
     # large families: first against one member
@@ -414,7 +414,7 @@ def similar_classes(docs: DataFrame, words: int = 5, percent: int = 80, block: i
     probes = loose.join(spread, "family").withColumn("column", part(F.col("columns"))).withColumn("line", across(lines))
     place = F.xxhash64("family", "line", "column").alias("place")
     blocks = dealt.select(place, "d", "s", F.lit(False).alias("probe")).union(probes.select(place, "d", "s", F.lit(True).alias("probe")))
-    found = small.union(blocks).repartition("place").sortWithinPartitions("place", "d").mapInArrow(_links(percent), "a long, b long")
+    found = small.union(blocks).repartition("place").sortWithinPartitions("place", "d").mapInArrow(A.tidy(_links(percent)), "a long, b long")
     stars = tested.where("close and d <> head").select(F.col("d").alias("a"), F.col("head").alias("b"))
     roots = components(found.union(stars).union(equal))
     discard(sets, family, tested)

@@ -189,7 +189,7 @@ def train(docs: DataFrame, order: int = ORDER, sample_rows: int = SAMPLE_ROWS) -
                     )
 
     counted = (
-        sample.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+        sample.mapInArrow(A.tidy(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     ).toArrow()
     names = sorted(sizes)
     lang = np.array(counted.column("lang").to_pylist(), object)
@@ -238,4 +238,4 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                     [*kept, *added],
                 )
 
-    return docs.select(*[F.col(f"`{c}`") for c in kept], F.col("text").rlike(r"\p{L}").alias(mark)).mapInArrow(run, schema)
+    return docs.select(*[F.col(f"`{c}`") for c in kept], F.col("text").rlike(r"\p{L}").alias(mark)).mapInArrow(A.tidy(run, "language"), schema)

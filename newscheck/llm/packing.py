@@ -61,7 +61,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, ke
 
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "salt", *["ids"] * keep_ids]
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, salt long" + ", ids array<int>" * keep_ids
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(A.tidy(run, "codec"), schema)
 
 
 def balance(lengths: np.ndarray, capacity: int, pairs_per_token: float = PAIRS_PER_TOKEN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

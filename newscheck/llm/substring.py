@@ -247,7 +247,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
         raise ValueError("an anchor is shorter than a window")
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("d"), "text").where("text is not null")
-    keys = rows.mapInArrow(_keys(window, anchor), "route long, key long, d long, many boolean")
+    keys = rows.mapInArrow(A.tidy(_keys(window, anchor), "powers"), "route long, key long, d long, many boolean")
     over = Window.partitionBy("route")
     shared = (
         keys.withColumns({"low": F.min("d").over(over), "high": F.max("d").over(over), "any": F.max("many").over(over)})
@@ -259,7 +259,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
     release(spark)
     marked = rows.withColumn("t", F.xxhash64("text")).join(shared, "d").select("d", "t", "text", "keys")
     schema = "key long, passage string, earliest long, places array<struct<d:long,t:long,start:int>>"
-    passages = materialize(marked.mapInArrow(_passages(window, anchor), schema), "passages")
+    passages = materialize(marked.mapInArrow(A.tidy(_passages(window, anchor), "powers"), schema), "passages")
     release(spark)
     # written, so that Spark knows its size and moves the passages only if it must
     crowded = passages.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= hot).select("key", F.lit(True).alias("crowded"))
@@ -279,7 +279,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
         )
         .repartition("route")
         .sortWithinPartitions("route", "earliest")
-        .mapInArrow(_matches(window), "d long, t long, starts array<int>")
+        .mapInArrow(A.tidy(_matches(window), "powers"), "d long, t long, starts array<int>")
     )
     gone = found.groupBy("d", "t").agg(F.array_distinct(F.flatten(F.collect_list("starts"))).alias("starts"))
     gone = materialize(gone, "repeats")
@@ -338,4 +338,4 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
             columns = [pa.array(texts, column.type) if c == "text" else batch.column(c) for c in kept]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(counts), pa.array(removed)], [*kept, *added])
 
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(A.tidy(run, "powers"), schema)
