@@ -272,6 +272,16 @@ _ADDED = _articles(
     _postings("vocab", "all_terms", "every_doc", "grown"),
 )
 
+_REMOVED = _articles(
+    _ROUNDED + "postings",
+    _tokens("terms", "every_doc"),
+    _vocabulary("vocab", "terms", "every_doc", "5000"),
+    "remaining AS (SELECT * FROM every_doc WHERE doc_id NOT IN (SELECT doc_id FROM fakes))",
+    _tokens("remaining_terms", "remaining"),
+    _postings("vocab", "remaining_terms", "remaining"),
+)
+
+
 ORACLE: dict[str, str] = {
     "read_articles_filtered": _articles(
         """
@@ -509,14 +519,8 @@ FROM asked a JOIN vocab v ON a.term = v.term, postings_n, postings_avg""",
     "index_save_load": _articles(_ROUNDED + "postings", *_INDEX),
     "index_add_documents": _ADDED,
     "index_add_rebuild": _articles(_ROUNDED + "postings", *_INDEX_ALL),
-    "index_remove_documents": _articles(
-        _ROUNDED + "postings",
-        _tokens("terms", "every_doc"),
-        _vocabulary("vocab", "terms", "every_doc", "5000"),
-        "remaining AS (SELECT * FROM every_doc WHERE doc_id NOT IN (SELECT doc_id FROM fakes))",
-        _tokens("remaining_terms", "remaining"),
-        _postings("vocab", "remaining_terms", "remaining"),
-    ),
+    "index_remove_documents": _REMOVED,
+    "index_store_remove": _REMOVED,
     "index_lookup": _articles(
         "SELECT doc_id, text FROM every_doc WHERE doc_id IN (SELECT doc_id FROM fakes)"
     ),

@@ -522,6 +522,15 @@ def index_remove_documents(spark, sf):
     return _rounded(bm25.postings(index))
 
 
+@query
+def index_store_remove(spark, sf):
+    """A stored index from which documents are removed by a batch."""
+    path = scratch_path(spark, "index")
+    index_store.save_index(_fitted_on_all(_stored(spark, sf)), path)
+    index_store.remove_batch(path, _fakes(spark, sf), "fakes")
+    return _rounded(bm25.postings(index_store.load_index(spark, path)))
+
+
 @query
 def index_lookup(spark, sf):
     return bm25.documents(_fitted_on_all(_stored(spark, sf)), _fakes(spark, sf))

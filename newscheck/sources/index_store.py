@@ -1,14 +1,16 @@
 """A BM25 index on disk: parquet tables that only ever grow by batches.
 
 ``vocab``      the fixed vocabulary
-``shifts``     per batch and term, what the batch adds to df and cf
+``shifts``     per batch and term, what the batch adds to df and cf (or takes away)
 ``counts``     per batch, the term counts of its documents
 ``corpus``     per batch, the texts
-``sizes``      per batch, the number of documents
+``removed``    per batch, the documents it removes and the batches they came in
+``sizes``      per batch, the number of documents it adds (or takes away)
 ``config``     one row
 
-A batch is a directory ``batch=<n>``; writing it again replaces it, so a batch that
-is delivered twice counts once.
+A batch is a directory ``batch=<name>``; writing it again replaces it, so a batch that
+is delivered twice counts once. Its row in ``sizes`` goes first and comes last: without
+it a batch is not read. A document that another batch has is not added again.
 """
 
 from __future__ import annotations
@@ -20,53 +22,95 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newscheck.operators.bm25 import BM25Config, BM25Index, batch_counts
+from newscheck.session import delete_path
 
 _CONFIG = (
     "max_features int, k1 double, b double, min_df int, max_df double, stopwords array<string>"
 )
 _SCHEMAS = {
-    "shifts": "term_id int, df long, cf long, batch long",
-    "counts": "doc_id long, term_id int, tf int, dl long, batch long",
-    "corpus": "doc_id long, text string, batch long",
-    "sizes": "n long, batch long",
+    "shifts": "term_id int, df long, cf long, batch string",
+    "counts": "doc_id long, term_id int, tf int, dl long, batch string",
+    "corpus": "doc_id long, text string, batch string",
+    "removed": "doc_id long, from_batch string, batch string",
+    "sizes": "n long, batch string",
 }
+# The batch that an index is saved as.
+FIRST = "0"
 
 
-def _put(df: DataFrame, path: str, table: str, batch: int) -> None:
-    df.write.mode("overwrite").parquet(f"{path}/{table}/batch={batch}")
+def _put(df: DataFrame, path: str, table: str, batch: str | int) -> DataFrame:
+    place = f"{path}/{table}/batch={batch}"
+    df.write.mode("overwrite").parquet(place)
+    return df.sparkSession.read.schema(df.schema).parquet(place)
 
 
-def _close_batch(path: str, batch: int, docs: DataFrame, shifts: DataFrame) -> None:
-    """Texts, statistics and, last, the size: a batch without a size is not read."""
-    _put(docs.select("doc_id", "text"), path, "corpus", batch)
-    _put(shifts, path, "shifts", batch)
-    _put(docs.agg(F.count("*").alias("n")), path, "sizes", batch)
+def _read(spark: SparkSession, path: str, table: str) -> DataFrame:
+    """A table of the store; empty if no batch has written it."""
+    try:
+        return spark.read.schema(_SCHEMAS[table]).parquet(f"{path}/{table}")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], _SCHEMAS[table])
+
+
+def _complete(spark: SparkSession, path: str, table: str) -> DataFrame:
+    """The rows of all complete batches."""
+    return _read(spark, path, table).join(known_batches(spark, path), "batch", "left_semi")
+
+
+def _live(spark: SparkSession, path: str, table: str) -> DataFrame:
+    """Rows of the documents that were not removed since."""
+    gone = _complete(spark, path, "removed").select("doc_id", F.col("from_batch").alias("batch"))
+    return _complete(spark, path, table).join(gone, ["doc_id", "batch"], "left_anti")
 
 
 def save_index(index: BM25Index, path: str) -> None:
-    """Write the index as batch 0 of a new store."""
+    """Write the index as the first batch of a new store."""
     spark = index.vocab.sparkSession
     spark.createDataFrame([asdict(index.config)], _CONFIG).write.parquet(f"{path}/config")
     index.vocab.select("term_id", "term").write.parquet(f"{path}/vocab")
-    _put(index.counts, path, "counts", 0)
-    _close_batch(path, 0, index.corpus, index.vocab.select("term_id", "df", "cf"))
+    _put(index.counts, path, "counts", FIRST)
+    corpus = _put(index.corpus.select("doc_id", "text"), path, "corpus", FIRST)
+    _put(index.vocab.select("term_id", "df", "cf"), path, "shifts", FIRST)
+    _put(corpus.agg(F.count("*").alias("n")), path, "sizes", FIRST)
 
 
-def append_batch(path: str, docs: DataFrame, batch: int) -> None:
-    """Add documents (``doc_id, text``) as batch ``batch`` > 0; the vocabulary stays.
+def append_batch(path: str, docs: DataFrame, batch: str | int) -> None:
+    """Add documents (``doc_id, text``) as a batch of that name; the vocabulary stays.
 
-    Only the new documents are read.
+    Of the store only ids are read. Documents that another batch has are left out, and
+    of a repeated ``doc_id`` the alphabetically first text stays.
     """
     spark = docs.sparkSession
     config = _read_config(spark, path)
     vocab = spark.read.parquet(f"{path}/vocab")
-    counts = batch_counts(docs, vocab, config)
-    _put(counts, path, "counts", batch)
-    written = spark.read.parquet(f"{path}/counts/batch={batch}")
-    shifts = written.groupBy("term_id").agg(
-        F.count("*").alias("df"), F.sum("tf").alias("cf")
+    delete_path(spark, f"{path}/sizes/batch={batch}")
+    stored = _live(spark, path, "corpus").where(F.col("batch") != str(batch)).select("doc_id")
+    new = docs.groupBy("doc_id").agg(F.min("text").alias("text")).join(stored, "doc_id", "left_anti")
+    corpus = _put(new, path, "corpus", batch)
+    counts = _put(batch_counts(corpus, vocab, config), path, "counts", batch)
+    shifts = counts.groupBy("term_id").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    _put(shifts, path, "shifts", batch)
+    _put(corpus.agg(F.count("*").alias("n")), path, "sizes", batch)
+
+
+def remove_batch(path: str, ids: DataFrame, batch: str | int) -> None:
+    """Remove the documents ``ids`` (``doc_id``) as a batch of that name; the vocabulary stays.
+
+    Nothing stored is written again: the batch names the documents and takes their
+    counts off. Unknown ids are passed over; a removed document can be added anew.
+    """
+    spark = ids.sparkSession
+    delete_path(spark, f"{path}/sizes/batch={batch}")
+    found = _live(spark, path, "corpus").join(ids.select("doc_id"), "doc_id", "left_semi")
+    gone = _put(found.select("doc_id", F.col("batch").alias("from_batch")), path, "removed", batch)
+    lost = _complete(spark, path, "counts").join(
+        gone.withColumnRenamed("from_batch", "batch"), ["doc_id", "batch"], "left_semi"
     )
-    _close_batch(path, batch, docs, shifts)
+    shifts = lost.groupBy("term_id").agg((-F.count("*")).alias("df"), (-F.sum("tf")).alias("cf"))
+    _put(shifts, path, "shifts", batch)
+    _put(gone.agg((-F.count("*")).alias("n")), path, "sizes", batch)
 
 
 def _read_config(spark: SparkSession, path: str) -> BM25Config:
@@ -74,16 +118,9 @@ def _read_config(spark: SparkSession, path: str) -> BM25Config:
     return BM25Config(**{**row, "stopwords": tuple(row["stopwords"])})
 
 
-def _read(spark: SparkSession, path: str, table: str) -> DataFrame:
-    return spark.read.schema(_SCHEMAS[table]).parquet(f"{path}/{table}")
-
-
 def load_index(spark: SparkSession, path: str) -> BM25Index:
     """Read a store: all its complete batches."""
-    sizes = _read(spark, path, "sizes")
-    # one row per batch
-    complete = sizes.select("batch").distinct()
-    sums = _read(spark, path, "shifts").join(complete, "batch", "left_semi")
+    sums = _complete(spark, path, "shifts")
     sums = sums.groupBy("term_id").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
     vocab = spark.read.parquet(f"{path}/vocab").join(sums, "term_id", "left")
     vocab = vocab.select(
@@ -94,19 +131,14 @@ def load_index(spark: SparkSession, path: str) -> BM25Index:
     )
     return BM25Index(
         config=_read_config(spark, path),
-        corpus=_read(spark, path, "corpus").join(complete, "batch", "left_semi").drop("batch"),
+        corpus=_live(spark, path, "corpus").select("doc_id", "text"),
         vocab=vocab,
-        counts=_read(spark, path, "counts").join(complete, "batch", "left_semi").drop("batch"),
-        n_docs=sizes.agg(F.sum("n")).first()[0],
+        counts=_live(spark, path, "counts").select("doc_id", "term_id", "tf", "dl"),
+        n_docs=known_batches(spark, path).agg(F.sum("n")).first()[0],
         total_length=vocab.agg(F.sum("cf")).first()[0] or 0,
     )
 
 
 def known_batches(spark: SparkSession, path: str) -> DataFrame:
     """``batch, n`` of the store; empty if there is none."""
-    try:
-        return _read(spark, path, "sizes").select("batch", "n")
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], "batch long, n long")
+    return _read(spark, path, "sizes").select("batch", "n")

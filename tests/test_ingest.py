@@ -122,3 +122,19 @@ def test_stream_takes_batches_once(spark, tmp_path):
     again = spark.createDataFrame([(4, "d", "u2", "z"), (5, "e", "u3", "w")], schema)
     stream.write_batch(again, target, 1)
     assert stored() == expected
+
+
+def test_stream_with_another_checkpoint_adds(spark, tmp_path):
+    source, target = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = "sequence long, title string, url string, content string"
+
+    def arrive(checkpoint, *rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("overwrite").parquet(source)
+        records = spark.readStream.schema(schema).parquet(source)
+        stream.ingest_articles(records, target, str(tmp_path / checkpoint))
+
+    arrive("first", (1, "a", "u1", "x"))
+    arrive("second", (2, "b", "u1", "y"), (3, "c", "u2", "z"))
+    stored = stream.read_ingested(spark, target).collect()
+    assert sorted((r.url, r.title, r.batch) for r in stored) == [("u1", "a", 0), ("u2", "c", 0)]
+    assert len({r.run for r in stored}) == 2

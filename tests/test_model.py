@@ -101,6 +101,38 @@ def test_store_appends_batches_once(spark, index, tmp_path):
         assert _found(bm25.postings(index_store.load_index(spark, path))) == expected
 
 
+def test_store_knows_its_documents(spark, index, tmp_path):
+    path, new = str(tmp_path / "index"), {8: "virus cure fresh", 9: "fresh vaccine"}
+    index_store.save_index(index, path)
+    index_store.append_batch(path, _docs(spark, new), "a")
+    index_store.append_batch(path, _docs(spark, new).union(_docs(spark, ALL_COMMON)), "b")  # nothing new
+    loaded = index_store.load_index(spark, path)
+    everything = {**ALL_COMMON, **new}
+    assert loaded.n_docs == len(everything)
+    assert _found(bm25.postings(loaded)) == _weights(everything, _vocab(ALL_COMMON))
+    gone = spark.createDataFrame([(8,), (8,), (9,), (77,)], "doc_id long")
+    for _ in range(2):
+        index_store.remove_batch(path, gone, "c")
+        back = index_store.load_index(spark, path)
+        assert back.n_docs == 5 and _found(bm25.postings(back)) == _found(bm25.postings(index))
+    index_store.append_batch(path, _docs(spark, new), "d")  # removed ones may come back
+    assert _found(bm25.postings(index_store.load_index(spark, path))) == _weights(everything, _vocab(ALL_COMMON))
+
+
+def test_unfinished_batch_is_not_read(spark, index, tmp_path, monkeypatch):
+    path, new = str(tmp_path / "index"), {8: "virus cure fresh"}
+    index_store.save_index(index, path)
+    index_store.append_batch(path, _docs(spark, new), "a")
+
+    def fails(*_):
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(index_store, "batch_counts", fails)
+    with pytest.raises(RuntimeError):
+        index_store.append_batch(path, _docs(spark, {9: "fresh vaccine"}), "a")
+    assert _found(bm25.postings(index_store.load_index(spark, path))) == _found(bm25.postings(index))
+
+
 def test_index_stream(spark, index, tmp_path):
     path, source = str(tmp_path / "index"), str(tmp_path / "in")
     index_store.save_index(index, path)
