@@ -266,19 +266,21 @@ def _rows(rule: Rule, shared):
     return run
 
 
+def _batch_sets(batch: pa.RecordBatch, words: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Runs ``(first, last)`` of a batch's rows with the sets of their texts and where each begins."""
+    for low, high, data, offsets in A.pieces(*A.text_buffer(batch.column("text"))):
+        yield low, high, *shingle_sets(data, offsets, words)
+
+
 def _family_sets(words: int):
+    """Rows ``family, d, text`` to rows ``family, d, s``."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low, high, data, offsets in A.pieces(*A.text_buffer(batch.column("text"))):
-                sets, begin = shingle_sets(data, offsets, words)
+            for low, high, sets, begin in _batch_sets(batch, words):
                 part = batch.slice(low, high - low)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *[part.column(c) for c in ("family", "m", "head", "d")],
-                        pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(sets.view(np.int64))),
-                    ],
-                    ["family", "m", "head", "d", "s"],
-                )
+                s = pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(sets.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column("family"), part.column("d"), s], ["family", "d", "s"])
 
     return run
 
@@ -329,8 +331,8 @@ def link_block(ids: np.ndarray, sets: list[np.ndarray], probe: np.ndarray, perce
     return out
 
 
-def _links(percent: int):
-    """Rows ``place, d, s, probe``, places in a row, to edges ``a, b``."""
+def _links(words: int, percent: int):
+    """Rows ``place, d, text, probe``, places in a row, to edges ``a, b``."""
 
     def settle(rows: list[tuple[int, np.ndarray, bool]]) -> list[tuple[int, int]]:
         if len(rows) < 2:
@@ -341,13 +343,13 @@ def _links(percent: int):
         place, rows = None, []
         for batch in batches:
             edges: list[tuple[int, int]] = []
-            s = batch.column("s")
-            flat, begin = s.flatten().to_numpy(), s.offsets.to_numpy() - s.offsets[0].as_py()
-            for i, (at, d, probe) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("place", "d", "probe")))):
-                if at != place:
-                    edges += settle(rows)
-                    place, rows = at, []
-                rows.append((d, flat[begin[i] : begin[i + 1]].copy(), probe))
+            named = list(zip(*(batch.column(c).to_pylist() for c in ("place", "d", "probe"))))
+            for low, high, sets, begin in _batch_sets(batch, words):
+                for i, (at, d, probe) in enumerate(named[low:high]):
+                    if at != place:
+                        edges += settle(rows)
+                        place, rows = at, []
+                    rows.append((d, sets[begin[i] : begin[i + 1]].copy(), probe))
             yield _edges(edges)
         yield _edges(settle(rows))
 
@@ -395,29 +397,32 @@ def similar_classes(docs: DataFrame, words: int = 5, percent: int = 80, block: i
     family = nodes.join(counted, "root").select(F.col("node").alias("d"), F.col("root").alias("family"), "m", "head")
     # families grow with the input, so they are not broadcast at any size
     family = materialize(family, "families")
-    held = rows.join(family.hint("merge"), "d").select("family", "m", "head", "d", "text")
-    sets = materialize(held.mapInArrow(A.tidy(_family_sets(words), "powers"), "family long, m long, head long, d long, s array<long>"), "sets")
+    # texts take half the space of their sets, which are made again where they are compared
+    held = materialize(rows.join(family.hint("merge"), "d").select("family", "m", "head", "d", "text"), "held")
     release(docs.sparkSession)
-    small = sets.where(F.col("m") <= block).select(F.col("family").alias("place"), "d", "s", F.lit(True).alias("probe"))
+    small = held.where(F.col("m") <= block).select(F.col("family").alias("place"), "d", "text", F.lit(True).alias("probe"))
     # large families: first against one member
-    large = sets.where(F.col("m") > block)
-    head = large.where("d = head").groupBy("family").agg(F.first("s").alias("h"))
+    large = held.where(F.col("m") > block)
+    sets_of = lambda t: t.select("family", "d", "text").mapInArrow(A.tidy(_family_sets(words), "powers"), "family long, d long, s array<long>")
+    head = sets_of(large.where("d = head")).groupBy("family").agg(F.first("s").alias("h"), F.first("d").alias("head"))
     common = F.size(F.array_intersect("s", "h"))
     close = common * 100 >= (F.size("s") + F.size("h") - common) * percent
-    tested = materialize(large.join(head, "family").select("family", "d", "s", "m", "head", close.alias("close")), "tested")
-    loose = tested.where("not close")
-    spread = loose.groupBy("family").agg(F.ceil(F.count("*") / F.lit(block)).alias("columns"))
+    tested = sets_of(large).join(head, "family").groupBy("family", "d", "head").agg(F.max(close).alias("close"), F.min(close).alias("all_close"))
+    tested = materialize(tested, "tested")
+    every = large.drop("head").join(tested.hint("merge"), ["family", "d"])
+    loose = every.where("not all_close")
+    spread = tested.where("not all_close").groupBy("family").agg(F.ceil(F.count("*") / F.lit(block)).alias("columns"))
     part = lambda n: F.pmod(F.xxhash64("d"), n)
     across = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), (n - 1).cast("long")))
     lines = F.ceil(F.col("m") / F.lit(block))
-    dealt = tested.join(spread, "family").withColumn("line", part(lines)).withColumn("column", across(F.col("columns")))
+    dealt = every.join(spread, "family").withColumn("line", part(lines)).withColumn("column", across(F.col("columns")))
     probes = loose.join(spread, "family").withColumn("column", part(F.col("columns"))).withColumn("line", across(lines))
     place = F.xxhash64("family", "line", "column").alias("place")
-    blocks = dealt.select(place, "d", "s", F.lit(False).alias("probe")).union(probes.select(place, "d", "s", F.lit(True).alias("probe")))
-    found = small.union(blocks).repartition("place").sortWithinPartitions("place", "d").mapInArrow(A.tidy(_links(percent)), "a long, b long")
+    blocks = dealt.select(place, "d", "text", F.lit(False).alias("probe")).union(probes.select(place, "d", "text", F.lit(True).alias("probe")))
+    found = small.union(blocks).repartition("place").sortWithinPartitions("place", "d").mapInArrow(A.tidy(_links(words, percent), "powers"), "a long, b long")
     stars = tested.where("close and d <> head").select(F.col("d").alias("a"), F.col("head").alias("b"))
     roots = components(found.union(stars).union(equal))
-    discard(sets, family, tested)
+    discard(held, family, tested)
     release(docs.sparkSession)
     reached = F.coalesce("root", "d")
     return sizes.join(roots, sizes["d"] == roots["node"], "left").select(
