@@ -370,7 +370,7 @@ def similar_classes(docs: DataFrame, words: int = 5, percent: int = 80, block: i
     1. Common shingles are counted. Keys are drawn from each text and shuffled; documents with the same key are tied to
     the first that has it. 2. Ties give families of candidates. 3. A family's sets meet in
     one task and are compared by inverted lists; in one larger than ``block`` all are first
-    compared with one member, and those not similar to it with the others, in blocks.
+    compared with one member, and those not similar to it with each other and the rest, in blocks.
 
     Null, empty and blank texts have no shingles and link with nothing. Equal texts are
     linked without comparison. Rows of one ``doc_id`` count as one document; rows with a
@@ -411,14 +411,21 @@ def similar_classes(docs: DataFrame, words: int = 5, percent: int = 80, block: i
     tested = materialize(tested, "tested")
     every = large.drop("head").join(tested.hint("merge"), ["family", "d"])
     loose = every.where("not all_close")
-    spread = tested.where("not all_close").groupBy("family").agg(F.ceil(F.count("*") / F.lit(block)).alias("columns"))
-    part = lambda n: F.pmod(F.xxhash64("d"), n)
-    across = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), (n - 1).cast("long")))
-    lines = F.ceil(F.col("m") / F.lit(block))
-    dealt = every.join(spread, "family").withColumn("line", part(lines)).withColumn("column", across(F.col("columns")))
-    probes = loose.join(spread, "family").withColumn("column", part(F.col("columns"))).withColumn("line", across(lines))
-    place = F.xxhash64("family", "line", "column").alias("place")
-    blocks = dealt.select(place, "d", "text", F.lit(False).alias("probe")).union(probes.select(place, "d", "text", F.lit(True).alias("probe")))
+    # the loose ones of a family in parts: each part meets each part, itself too, once; the
+    # others, which only loose ones have to meet, in parts of their own
+    count = F.count_if(~F.col("all_close"))
+    spread = tested.groupBy("family").agg(F.ceil(count / F.lit(block)).alias("columns"), F.greatest(F.lit(1), F.ceil((F.count("*") - count) / F.lit(block))).alias("lines"))
+    spread = spread.where("columns > 0")
+    part = lambda n: F.pmod(F.xxhash64("d"), F.col(n))
+    across = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), (F.col(n) - 1).cast("long")))
+    loose = loose.join(spread, "family").withColumn("part", part("columns"))
+    rest = every.where("all_close").join(spread, "family").withColumn("part", part("lines"))
+    place = lambda kind, one, two: F.xxhash64(F.lit(kind), "family", one, two).alias("place")
+    probe = lambda yes: F.lit(yes).alias("probe")
+    loose_pairs = loose.withColumn("with", across("columns")).select(place(0, F.least("part", "with"), F.greatest("part", "with")), "d", "text", probe(True))
+    asked = loose.withColumn("with", across("lines")).select(place(1, F.col("with"), F.col("part")), "d", "text", probe(True))
+    others = rest.withColumn("with", across("columns")).select(place(1, F.col("part"), F.col("with")), "d", "text", probe(False))
+    blocks = loose_pairs.union(asked).union(others)
     found = small.union(blocks).repartition("place").sortWithinPartitions("place", "d").mapInArrow(A.tidy(_links(words, percent), "powers"), "a long, b long")
     stars = tested.where("close and d <> head").select(F.col("d").alias("a"), F.col("head").alias("b"))
     roots = components(found.union(stars).union(equal))
