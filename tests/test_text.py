@@ -85,14 +85,16 @@ def test_risk_bands(spark):
     ]
 
 
-def test_stopwords_both_ways(spark, monkeypatch):
-    docs = spark.createDataFrame([(1, "the cat The the dog cat"), (2, "the"), (3, None)], "doc_id long, text string")
-    stop = spark.createDataFrame([("the",), ("dog",)], "term string")
-    expected = {1: "cat The cat", 2: "", 3: None}
-    literal = {r.doc_id: r.text for r in segment.remove_stopwords(docs, stop).collect()}
-    monkeypatch.setattr(segment, "LITERAL_WORDS", 1)
-    joined = {r.doc_id: r.text for r in segment.remove_stopwords(docs, stop).collect()}
-    assert literal == joined == expected
+def test_stopwords(spark):
+    texts = [(1, "the cat The the dog cat"), (2, "the"), (3, None), (4, "dog bird"), (4, "a the b"), (None, "the x"), (5, "")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    expected = [(None, "x"), (1, "cat The cat"), (2, ""), (3, None), (4, "a b"), (4, "bird"), (5, "")]
+    order = lambda r: (r[0] or 0, r[1] or "")
+    for more in (0, 30_000):
+        listed = spark.range(more).selectExpr("concat('w', id) AS term").union(spark.createDataFrame([("the",), ("dog",), ("the",), (None,)], "term string"))
+        assert sorted(map(tuple, segment.remove_stopwords(docs, listed).collect()), key=order) == expected
+    nothing = segment.remove_stopwords(docs, listed.limit(0))
+    assert sorted(map(tuple, nothing.collect()), key=order) == sorted(texts, key=order)
 
 
 def _greedy(words, lexicon):
