@@ -19,6 +19,8 @@ from newscheck.session import discard, materialize
 
 # Documents of a candidate family that are compared in one task.
 BLOCK = 8_000
+# Documents whose keys a task holds at a time.
+HELD = 4_096
 # A shingle is common if so large a share of the documents has it.
 COMMON = 0.0003
 # What opening a list costs, in keys.
@@ -218,7 +220,7 @@ def _rows(rule: Rule, shared):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, HELD) for b in batches for at in range(0, len(b), HELD)):
             ids = batch.column("d").to_numpy()
             size, digest = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.uint64)
             who, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
