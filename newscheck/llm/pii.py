@@ -16,13 +16,22 @@ BASE = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 # Kinds the method adds: account numbers (mod 97), US social security numbers, access keys
-# and assigned secrets.
+# and assigned secrets. Of an account number the pattern has the first four characters;
+# ACCOUNT is the longest run that can be one, and the number is a prefix of it.
 ADDED = {
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[\x20-]?[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=[\x20-]?[A-Z0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "key": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
     "secret": r"(?i)(?<![A-Za-z0-9])(?:password|passwd|secret|token|api_?key)[\x20]?[=:][\x20]?[\"']?[^\s\"']{6,128}+",
 }
+ACCOUNT = r"^[A-Z]{2}[0-9]{2}(?:[\x20-]?[A-Z0-9]){11,30}+"
+# Characters of account numbers by country; other countries' have 15 to 34.
+ACCOUNT_SIZES = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+    31: "MT SC", 32: "LC", 33: "RU",
+}
 KINDS = [*BASE, *ADDED]
 # Score of a confirmed span, and what a word nearby adds; added kinds need THRESHOLD.
 PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.8, "ssn": 0.4, "key": 0.8, "secret": 0.7}
@@ -74,14 +83,39 @@ def _valid(kind: str, span: Column) -> Column:
         return F.length(digits).between(13, 19) & luhn(digits)
     if kind == "phone":
         return F.length(digits).between(9, 15)
-    if kind == "iban":
-        bare = F.regexp_replace(span, "[ -]", "")
-        return F.length(bare).between(15, 34) & mod97(bare)
     if kind == "ssn":
         return ~span.rlike("^(?:000|666|9)|-00-|-0000$")
     return F.lit(True)
 
 
+def _accounts(text: Column, heads: Column) -> Column:
+    """Account numbers ``m, start`` from places of their first four characters.
+
+    A number is a prefix of the run that begins there, ends before a character that is no
+    letter or digit, and passes mod 97: the one of its country's size, or else the longest.
+    A place inside a number found before is none.
+    """
+    sizes = F.create_map(*[F.lit(x) for n, codes in ACCOUNT_SIZES.items() for code in codes.split() for x in (code, n)])
+
+    def number(x: Column) -> Column:
+        ahead = F.substr(text, (x["start"] + 1).cast("int"), F.lit(2 * 34))
+        run = F.regexp_extract(ahead, ACCOUNT, 0)
+        ends = F.filter(F.sequence(F.lit(1), F.length(ahead)), lambda k: (k <= F.length(run)) & F.substr(ahead, k, F.lit(2)).rlike("(?s)^[A-Z0-9](?![A-Za-z0-9])"))
+        made = F.transform(ends, lambda k: F.struct(k.alias("k"), F.regexp_replace(F.substr(ahead, F.lit(1), k), "[ -]", "").alias("bare")))
+        made = F.filter(made, lambda e: F.length(e["bare"]).between(15, 34) & mod97(e["bare"]))
+        best = F.array_max(F.transform(made, lambda e: F.struct(F.coalesce(F.length(e["bare"]) == sizes[F.left(ahead, F.lit(2))], F.lit(False)).alias("own"), e["k"].alias("k"))))
+        return F.struct(F.substr(ahead, F.lit(1), best["k"]).alias("m"), x["start"].alias("start"))
+
+    return F.aggregate(
+        F.filter(F.transform(heads, number), lambda x: x["m"].isNotNull()),
+        F.array().cast("array<struct<m:string,start:long>>"),
+        lambda acc, x: F.when(
+            (F.size(acc) == 0) | (x["start"] >= F.element_at(acc, -1)["start"] + F.length(F.element_at(acc, -1)["m"])),
+            F.concat(acc, F.array(x)),
+        ).otherwise(acc),
+    )
+
+
 _QUICK = {
     "email": lambda t: t.contains("@"),
     "ip": lambda t: t.rlike(r"[0-9]\.[0-9]+\.[0-9]"),
@@ -109,7 +143,7 @@ def _spans(kind: str, text: Column) -> Column:
             F.concat(acc["list"], F.array(F.struct(x["m"].alias("m"), (acc["at"] + F.length(x["gap"])).alias("start")))).alias("list"),
         ),
     )["list"]
-    confirmed = F.filter(located, lambda x: _valid(kind, x["m"]))
+    confirmed = _accounts(text, located) if kind == "iban" else F.filter(located, lambda x: _valid(kind, x["m"]))
 
     def scored(x: Column) -> Column:
         begin = F.greatest(x["start"] - NEARBY, F.lit(0))

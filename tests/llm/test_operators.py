@@ -154,6 +154,27 @@ def test_privacy_spans_equal_plain_patterns(spark):
         assert got[k].base_sha256 == hashlib.sha256(spans.encode()).hexdigest(), text
 
 
+def test_privacy_account_numbers(spark):
+    """Text behind an account number does not hide it, nor does another candidate before or inside it."""
+    spaced, joined, british = "DE89 3704 0044 0532 0130 00", "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32"
+    cases = [
+        (f"IBAN {spaced} Please pay", [spaced]),
+        (f"IBAN {joined} BIC COBADEFF", [joined]),
+        (f"IBAN {joined} COBADEFFXXX", [joined]),
+        (f"IBAN {spaced} 5000 EUR", [spaced]),
+        (f"IBAN {joined}-12 A", [joined]),
+        (f"IBAN {spaced} {british} {joined}", [spaced, british, joined]),
+        (f"😀 IBAN AB12 {spaced}", [spaced]),
+        (f"IBAN\n{joined}\nPAY", [joined]),
+        (f"IBAN {joined}X and {joined}x and DE88 3704 0044 0532 0130 00 Please", []),
+    ]
+    frame = spark.createDataFrame([(k, text) for k, (text, _) in enumerate(cases)], "doc_id long, text string")
+    found = {r.doc_id: [r.text[s.start : s.end] for s in r.pii if s.kind == "iban"] for r in pii.find(frame).collect()}
+    assert [found[k] for k in range(len(cases))] == [want for _, want in cases]
+    clean = {r.doc_id: r.text for r in pii.redact(frame).collect()}
+    assert clean[0] == "IBAN [IBAN] Please pay" and clean[1] == "IBAN [IBAN] BIC COBADEFF"
+
+
 def test_licenses(documents):
     found = {r.doc_id: r for r in licenses.detect(licenses.phrase_places(documents)).collect()}
     r = found[10]
