@@ -22,7 +22,7 @@ ADDED = {
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=[\x20-]?[A-Z0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "key": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
-    "secret": r"(?i)(?<![A-Za-z0-9])(?:password|passwd|secret|token|api_?key)[\x20]?[=:][\x20]?[\"']?[^\s\"']{6,128}+",
+    "secret": r"(?i)(?<![A-Za-z0-9])(?:password|passwd|secret|token|api_?key)[\x20]?[=:][\x20]?[\"']?[^\s\"']{6,}+",
 }
 ACCOUNT = r"^[A-Z]{2}[0-9]{2}(?:[\x20-]?[A-Z0-9]){11,30}+"
 # Characters of account numbers by country; other countries' have 15 to 34.

@@ -175,6 +175,15 @@ def test_privacy_account_numbers(spark):
     assert clean[0] == "IBAN [IBAN] Please pay" and clean[1] == "IBAN [IBAN] BIC COBADEFF"
 
 
+def test_privacy_long_secrets(spark):
+    """A secret goes as a whole, however long it is."""
+    value = "eyJhbGciOi." * 27 + "_9-x=="
+    texts = [f"token={value} and more", f'password: "{value}" and more', f"token={value * 300}"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    clean = {r.doc_id: r.text for r in pii.redact(frame).collect()}
+    assert clean == {0: "[SECRET] and more", 1: '[SECRET]" and more', 2: "[SECRET]"}
+
+
 def test_licenses(documents):
     found = {r.doc_id: r for r in licenses.detect(licenses.phrase_places(documents)).collect()}
     r = found[10]
