@@ -193,6 +193,36 @@ def test_licenses(documents):
     assert len(licenses.rules()) > 200 and licenses.detect(documents.limit(0)).count() == 0
 
 
+def test_licence_keywords(spark):
+    """Every rule's match, written over several lines, passes the gates and the rule's keyword."""
+    texts = []
+    for rule in licenses.rules():
+        words = rule.pattern.removeprefix(licenses._BEGIN + "(?i:").removesuffix(")" + licenses._END)
+        words = re.sub(r"\(\?:([^()|]*)[^()]*\)\??", r"\1", words.replace(f"{licenses._GAP}*+", "").replace(f"{licenses._GAP}++", "\n"))
+        text = words.replace("[sc]", "c").upper()
+        assert re.search(rule.pattern, text), text
+        bare = re.sub(r"\(\?:[^()]*\)\?", "", rule.pattern.replace(licenses._GAP, ""))
+        assert re.fullmatch("[a-z0-9]+", rule.keyword) and rule.keyword in bare and rule.keyword in text.lower()
+        assert any(g in text.lower() for g in licenses.GATES), text
+        texts.append((len(texts), text, rule.label))
+    found = licenses.detect(spark.createDataFrame(texts, "doc_id long, text string, label string")).collect()
+    assert [r.text for r in found if r.label not in {d.label for d in r.licences}] == []
+
+
+def test_licences_over_lines(spark):
+    cases = {
+        "SIL Open\nFont License": "ofl",
+        "All\nrights reserved": "all-rights-reserved",
+        "it is in the public\ndomain now": "public-domain",
+        "This software is provided 'as-is', without any express or implied\nwarranty.": "zlib",
+        "Berkeley Software Distribution License": "bsd",
+        "PSF License": "psf",
+    }
+    frame = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    found = {r.text: [d.label for d in r.licences] for r in licenses.detect(frame).collect()}
+    assert found == {text: [label] for text, label in cases.items()}
+
+
 def test_ring(spark, documents):
     placed = ring.assign(documents, shards=3, run=2).collect()
     assert len(placed) == documents.count()
