@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from newscheck.llm import arrays as A
 from newscheck.llm.components import components
+from newscheck.llm.nodes import numbered
 from newscheck.llm.substring import release
 from newscheck.session import discard, materialize
 
@@ -25,7 +26,6 @@ HELD = 4_096
 COMMON = 0.0003
 # What opening a list costs, in keys.
 OPENING = 2
-_LAST = (1 << 63) - 1  # stands for a null id
 _KEY, _DOC, _SAME, _EDGE = 0, 1, 2, 3
 
 
@@ -375,22 +375,31 @@ def similar_classes(docs: DataFrame, words: int = 5, percent: int = 80, block: i
     compared with one member, and those not similar to it with each other and the rest, in blocks.
 
     Null, empty and blank texts have no shingles and link with nothing. Equal texts are
-    linked without comparison. Rows of one ``doc_id`` count as one document; rows with a
-    null id as one whose id is above all others, shown as null. An empty table gives no rows.
+    linked without comparison. Rows of one ``doc_id`` count as one document; each row with a
+    null id is a document of its own whose id is above all others, shown as null. An empty
+    table gives no rows.
     """
+    nodes = numbered(docs.select("doc_id", "text"), "d")
+    found = _classes(nodes.rows.select("d", "text"), words, percent, block)
+    nodes.discard()
+    return found.select(nodes.id_of(F.col("d")).alias("doc_id"), F.col("n").alias("n_shingles"), nodes.id_of(F.col("root")).alias("component_id"))
+
+
+def _classes(rows: DataFrame, words: int, percent: int, block: int) -> DataFrame:
+    """``d, n, root`` of every row of ``rows`` (``d, text``); see :func:`similar_classes`."""
     if words < 1 or not 50 < percent <= 100:
         raise ValueError("words is at least 1, percent above 50 and at most 100")
     rule = Rule(words, percent)
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("d"), "text")
     kind = (F.col("tag") % 4).alias("kind")
     over = Window.partitionBy("route", F.col("tag") % 4)
-    shared = docs.sparkSession.sparkContext.broadcast(common_shingles(rows, words))
+    spark = rows.sparkSession
+    shared = spark.sparkContext.broadcast(common_shingles(rows, words))
     made = rows.mapInArrow(A.tidy(_rows(rule, shared), "powers"), "route long, d long, tag long, other long")
     tied = made.select("d", kind, F.floor(F.col("tag") / 4).alias("n"), "other", F.min("d").over(over).alias("low"))
     tied = tied.withColumn("other", F.when(F.col("kind") <= _DOC, F.col("low")).otherwise(F.col("other")))
     tied = tied.where((F.col("kind") == _DOC) | (F.col("kind") == _SAME) | (F.col("d") != F.col("other"))).drop("low")
     tied = materialize(tied, "ties")
-    release(docs.sparkSession)
+    release(spark)
     sizes = tied.where(F.col("kind").isin(_DOC, _SAME)).select("d", "n")
     equal = tied.where(F.col("kind").isin(_DOC, _SAME) & (F.col("d") != F.col("other"))).select(F.col("d").alias("a"), F.col("other").alias("b"))
     maybe = tied.where(F.col("kind").isin(_KEY, _EDGE)).select(F.col("d").alias("a"), F.col("other").alias("b")).distinct()
@@ -401,7 +410,7 @@ def similar_classes(docs: DataFrame, words: int = 5, percent: int = 80, block: i
     family = materialize(family, "families")
     # texts take half the space of their sets, which are made again where they are compared
     held = materialize(rows.join(family.hint("merge"), "d").select("family", "m", "head", "d", "text"), "held")
-    release(docs.sparkSession)
+    release(spark)
     small = held.where(F.col("m") <= block).select(F.col("family").alias("place"), "d", "text", F.lit(True).alias("probe"))
     # large families: first against one member
     large = held.where(F.col("m") > block)
@@ -432,21 +441,18 @@ def similar_classes(docs: DataFrame, words: int = 5, percent: int = 80, block: i
     stars = tested.where("close and d <> head").select(F.col("d").alias("a"), F.col("head").alias("b"))
     roots = components(found.union(stars).union(equal))
     discard(held, family, tested)
-    release(docs.sparkSession)
-    reached = F.coalesce("root", "d")
-    return sizes.join(roots, sizes["d"] == roots["node"], "left").select(
-        F.when(F.col("d") != _LAST, F.col("d")).alias("doc_id"),
-        F.col("n").alias("n_shingles"),
-        F.when(reached != _LAST, reached).alias("component_id"),
-    )
+    release(spark)
+    return sizes.join(roots, sizes["d"] == roots["node"], "left").select("d", "n", F.coalesce("root", "d").alias("root"))
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:
     """Rows of ``docs`` without near duplicates: of each component the document with the smallest id stays.
 
-    Same columns. Cases as in :func:`similar_classes`; all rows of a kept id stay, and rows
-    with a null id go only if a smaller id is reached.
+    Same columns. Cases as in :func:`similar_classes`; all rows of a kept id stay, and a row
+    with a null id goes if it reaches an id or a row without one that comes before it.
     """
-    classes = similar_classes(docs.select("doc_id", "text"), words, percent, block)
-    gone = classes.where("component_id is not null and not (doc_id <=> component_id)").select("doc_id").distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
+    mark = "_node" + "_" * max(map(len, docs.columns))  # clashes with no column
+    rows = numbered(docs, mark).rows
+    classes = _classes(rows.select(F.col(mark).alias("d"), "text"), words, percent, block)
+    gone = classes.where("d <> root").select(F.col("d").alias(mark)).distinct()
+    return rows.join(gone, mark, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

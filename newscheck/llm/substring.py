@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from newscheck.llm import arrays as A
+from newscheck.llm.nodes import numbered
 from newscheck.session import discard, materialize
 
 # Words of a window, and of the shingles that anchor it.
@@ -19,7 +20,6 @@ WINDOW = 13
 ANCHOR = 6
 # Reference passages of one anchor beyond which its windows are dealt apart.
 HOT = 20_000
-_LAST = (1 << 63) - 1  # stands for a null id: after all others
 
 
 def release(spark: SparkSession) -> None:
@@ -231,10 +231,10 @@ def _matches(window: int):
     return run
 
 
-def repeated_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, hot: int = HOT) -> DataFrame:
-    """``d, t, starts``: windows of ``docs`` (``doc_id, text``) whose words also start in a smaller ``doc_id``.
+def repeated_windows(rows: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, hot: int = HOT) -> DataFrame:
+    """``d, t, starts``: windows of ``rows`` (``d, text``) whose words also start in a smaller ``d``.
 
-    ``d`` is the id (the largest number for null), ``t`` the hash of the text, ``starts``
+    ``d`` is the number of a document, ``t`` the hash of the text, ``starts``
     the first words of such windows. Documents without any are not listed.
 
     1. Each text gives the keys of its anchors; a shuffle by key finds those that several
@@ -245,8 +245,8 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
     """
     if not 0 < anchor < window:
         raise ValueError("an anchor is shorter than a window")
-    spark = docs.sparkSession
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("d"), "text").where("text is not null")
+    spark = rows.sparkSession
+    rows = rows.where("text is not null")
     keys = rows.mapInArrow(A.tidy(_keys(window, anchor), "powers"), "route long, key long, d long, many boolean")
     over = Window.partitionBy("route")
     shared = (
@@ -295,20 +295,18 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     smaller ``doc_id``; windows are those of the given texts. Where words go, one line
     break or blank stays between the others; texts that lose nothing stay as they are.
 
-    A null text has no words and stays null. A null ``doc_id`` counts as larger than all
-    others. Rows of one ``doc_id`` do not take from each other. Columns named like the
+    A null text has no words and stays null. Each row with a null ``doc_id`` is a document
+    of its own, after all others and those without an id that come before it. Rows of one
+    ``doc_id`` do not take from each other. Columns named like the
     two counts are replaced. An empty table gives no rows.
     """
-    gone = repeated_windows(docs, window, anchor, hot)
     added = ["n_words", "n_removed"]
     kept = [c for c in docs.columns if c not in added]
     own = {c: f"_{c}" + "_" * max(map(len, docs.columns)) for c in ("d", "t", "starts")}  # clash with no column
     schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField(c, T.LongType()) for c in added])
-    keyed = docs.select(
-        *[F.col(f"`{c}`") for c in kept],
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias(own["d"]),
-        F.xxhash64("text").alias(own["t"]),
-    )
+    rows = numbered(docs.select(*[F.col(f"`{c}`") for c in kept]), own["d"]).rows
+    gone = repeated_windows(rows.select(F.col(own["d"]).alias("d"), "text"), window, anchor, hot)
+    keyed = rows.withColumn(own["t"], F.xxhash64("text"))
     marks = gone.select(*[F.col(c).alias(name) for c, name in own.items()])
     joined = keyed.join(marks, [own["d"], own["t"]], "left").select(*[F.col(f"`{c}`") for c in kept], own["starts"])
 

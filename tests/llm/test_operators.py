@@ -357,6 +357,22 @@ def test_repeats_cases(documents):
     assert substring.remove_repeats(documents.limit(0)).count() == 0
 
 
+def test_rows_without_an_id(spark):
+    """Each row without an id is a document: copies go one by one, and others do not go or link with them."""
+    draw = random.Random(8)
+    a, b, c, e = (" ".join(f"{draw.choice('abcdefg')}{draw.randint(0, 999)}" for _ in range(40)) for _ in range(4))
+    texts = [(1, a), (2, b), (3, "short one"), (None, a), (None, b), (None, c), (None, c), (None, e), (None, None), (None, None)]
+    for top in (3, (1 << 63) - 1):
+        ids = {1: 1, 2: 2, 3: top, None: None}
+        frame = spark.createDataFrame([(ids[d], t) for d, t in texts], "doc_id long, text string").repartition(4)
+        got = collections.Counter((r.doc_id, r.component_id) for r in jaccard.similar_classes(frame).collect())
+        assert got == {(1, 1): 1, (2, 2): 1, (top, top): 1, (None, 1): 1, (None, 2): 1, (None, None): 5}
+        kept = collections.Counter(rows(jaccard.keep_one(frame)))
+        assert kept == {(1, a): 1, (2, b): 1, (top, "short one"): 1, (None, c): 1, (None, e): 1, (None, None): 2}
+        left = collections.Counter((r.doc_id, r.text) for r in substring.remove_repeats(frame).collect())
+        assert left == {(1, a): 1, (2, b): 1, (top, "short one"): 1, (None, ""): 3, (None, c): 1, (None, e): 1, (None, None): 2}
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline
 
