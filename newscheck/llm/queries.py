@@ -135,3 +135,94 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from newscheck.llm import jaccard
 
     return jaccard.similar_classes(_table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
+@_query
+def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from newscheck.llm import fim
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return fim.digests(fim.turn(fim.store(docs)))
+
+
+@_query
+def op12_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from newscheck.llm import audit
+
+    return audit.interactions(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+ORACLE["op12_filters"] = r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (
+  SELECT *, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words,
+    length(regexp_replace(text, '[^A-Z]', '', 'g')) AS capitals,
+    min(doc_id) OVER (PARTITION BY text) AS first_id
+  FROM d
+),
+f AS (
+  SELECT doc_id, part,
+    len(words) < 200 AS a,
+    100 * len(list_distinct(words)) < 50 * len(words) AS b,
+    100 * capitals > 3 * length(text) AS c,
+    regexp_matches(text, '[#$%&*|]') AS d,
+    coalesce(first_id < doc_id, false) AS e
+  FROM w
+),
+l AS (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id),
+m AS (
+  SELECT part, map {'A': a, 'B': b, 'C': c, 'D': d, 'E': e} AS fails,
+    coalesce(quality = 1, false) AS good, coalesce(toxic = 1, false) AS bad
+  FROM f LEFT JOIN l USING (doc_id)
+),
+g AS (SELECT part, fails, good, bad, count(*) AS n FROM m GROUP BY ALL),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (
+  SELECT p.x || q.x || r.x || s.x || t.x AS filter_order
+  FROM letters p, letters q, letters r, letters s, letters t
+  WHERE len(list_distinct([p.x, q.x, r.x, s.x, t.x])) = 5
+),
+steps AS (SELECT filter_order, CAST(unnest(range(1, 6)) AS INTEGER) AS step FROM orders),
+s AS (
+  SELECT filter_order, step, filter_order[step] AS here,
+    string_split(substr(filter_order, 1, step - 1), '') AS before
+  FROM steps
+),
+c AS (
+  SELECT g.part, s.filter_order, s.step, s.here, n, good, bad,
+    g.fails[s.here] AS fail_here,
+    len(list_filter(s.before, lambda x: x <> '' AND g.fails[x])) > 0 AS gone,
+    len(list_filter(map_values(g.fails), lambda x: x)) AS n_fails
+  FROM g, s
+),
+r AS (
+  SELECT part, filter_order, step, here,
+    CAST(coalesce(sum(n) FILTER (NOT gone AND NOT fail_here), 0) AS BIGINT) AS kept,
+    CAST(coalesce(sum(n) FILTER (NOT gone AND fail_here), 0) AS BIGINT) AS removed,
+    CAST(coalesce(sum(n) FILTER (gone AND fail_here), 0) AS BIGINT) AS redundant,
+    CAST(coalesce(sum(n) FILTER (fail_here AND n_fails = 1), 0) AS BIGINT) AS unique_fails,
+    CAST(coalesce(sum(n) FILTER (NOT gone AND fail_here AND good), 0) AS BIGINT) AS good_lost,
+    CAST(coalesce(sum(n) FILTER (NOT gone AND fail_here AND bad), 0) AS BIGINT) AS toxic_lost
+  FROM c GROUP BY ALL
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, here) AS BIGINT) AS shapley
+FROM r
+"""
+
+
+@_query
+def op13_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from newscheck.llm import fmindex
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = fmindex.mark(docs, _table(spark, sf_dir, "benchmark"))
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["last"] - s["first"])
+    return found.select(
+        "doc_id",
+        "n_words",
+        n_hit.alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.size("spans") > 0).alias("contaminated"),
+    )
