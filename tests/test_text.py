@@ -120,6 +120,31 @@ def test_segmentation(spark, sf_dir):
     }
 
 
+@pytest.mark.parametrize("part_bytes", [1 << 24, 60])
+def test_segmentation_by_row(spark, part_bytes):
+    """Missing texts, repeated and missing ids; one trie or several, one after the other."""
+    lexicon = ["x_a", "b_z", "a_b_c", "c_d", "a_b", "q_r_s_t", "q_r_s_t_u", "m_n_o", "alone", "p__q"]
+    rows = [(1, "a b c d"), (1, "x a b y"), (None, "a b z"), (None, None), (2, None), (3, ""), (4, "q r s t u"), (5, "m_n o p _q"), (1, "a b c d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = segment.segment_words(docs, spark.createDataFrame([(x,) for x in lexicon], "term string"), part_bytes)
+    want = [(i, t if t is None else _greedy(t.split(), set(lexicon))) for i, t in rows]
+    assert want[0] == (1, "a_b_c d") and want[1] == (1, "x_a b y")
+    order = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
+    assert sorted(map(tuple, found.collect()), key=order) == sorted(want, key=order)
+    plain = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plain
+
+
+def test_normalisation_with_lexicon(spark):
+    """Clean, segment, drop stopwords, in that order."""
+    rows = [(1, "Good, morning!  to all http://x.y"), (1, None), (None, "to-all good morning"), (2, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    one = lambda *t: spark.createDataFrame([(x,) for x in t], "term string")
+    found = segment.normalize(docs, stopwords=one("all", "good_morning"), lexicon=one("Good_morning", "good_morning", "to_all"))
+    order = lambda r: (str(r[0]), str(r[1]))
+    assert sorted(map(tuple, found.collect()), key=order) == sorted([(1, "Good_morning to_all"), (1, None), (None, "toall"), (2, "")], key=order)
+
+
 def test_csv_store(spark, tmp_path):
     path = str(tmp_path / "store")
     assert read_crawl_store(spark, path).count() == 0
