@@ -23,6 +23,7 @@ from newscheck.operators.terms import (
     term_stats,
     to_vectors,
 )
+from newscheck.operators.pruned import topk_bounded
 from newscheck.operators.topk import topk_dot
 from newscheck.session import materialize
 
@@ -146,7 +147,9 @@ def vector_topk(
             .join(documents, "id", "left")
             .select("id", F.coalesce("vec", empty).alias("vec"))
         )
-    found = topk_dot(vectors, documents, k, n_queries, index.n_docs, positive_only=not pad_zero)
+        found = topk_dot(vectors, documents, k, n_queries, index.n_docs, positive_only=False)
+    else:
+        found = topk_bounded(vectors, documents, k, n_queries, index.n_docs)
     return _hits(found)
 
 
@@ -174,7 +177,7 @@ def self_topk(index: BM25Index, k: int = 10) -> DataFrame:
         value = lambda c: F.struct(c["i"].alias("i"), c[name].cast("double").alias("v"))
         return both.select("id", F.transform("cells", value).alias("vec"))
 
-    return _hits(topk_dot(side("tf"), side("weight"), k, index.n_docs, index.n_docs))
+    return _hits(topk_bounded(side("tf"), side("weight"), k, index.n_docs, index.n_docs))
 
 
 def _shifted(index: BM25Index, docs: DataFrame, sign: int, n: int) -> tuple[DataFrame, int, int]:
