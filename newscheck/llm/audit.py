@@ -73,7 +73,7 @@ def combinations(docs: DataFrame, labels: DataFrame, rules: dict[str, Rule] = RU
     Bit k of ``bits`` stands for the k-th rule, the last one for being a copy
     (:func:`later_copies`). ``docs`` is ``doc_id, text`` and the column ``part``; a missing
     text is empty, a missing part is the empty string. ``labels`` is ``doc_id, quality,
-    toxic``; a document is good (toxic) if any row with its id has quality (toxic) 1.
+    toxic``; a document is good (toxic) if any row with its id has quality (toxic) 1, never without an id.
 
     Ids of copies are united with those that fail another rule, each with its bits; rows are
     told apart by id, part and text hash, and of ids only those that fail are shuffled.

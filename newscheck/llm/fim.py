@@ -112,7 +112,7 @@ def turn(stored: DataFrame, rule: Rule = Rule(), level: int = LEVEL) -> DataFram
     """
     digest = F.sha2(F.concat(F.lit(f"{rule.seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 256)
     h = [F.conv(F.substring(digest, 8 * k + 1, 8), 16, 10).cast("long") for k in range(4)]
-    n = F.coalesce(F.element_at("frames", -1)["units"], F.lit(0).cast("long"))
+    n = F.coalesce(F.try_element_at("frames", F.lit(-1))["units"], F.lit(0).cast("long"))
     plain = (F.size("frames") == 0) | F.col("marked") | (h[2] % 100 >= rule.turned)
     form = F.when(plain, "plain").when(h[3] % 100 < rule.suffix_first, "spm").otherwise("psm")
     cuts = [h[k] % (n + 1) for k in (0, 1)]
