@@ -20,8 +20,8 @@ from newscheck.session import discard, materialize
 
 # Documents of a candidate family that are compared in one task.
 BLOCK = 8_000
-# Documents whose keys a task holds at a time.
-HELD = 4_096
+# Bytes of text whose keys a task holds at a time (or one longer text).
+HELD = 1 << 21
 # A shingle is common if so large a share of the documents has it.
 COMMON = 0.0003
 # What opening a list costs, in keys.
@@ -211,6 +211,13 @@ def join_keys(
     return np.concatenate(who), np.concatenate(keys)
 
 
+def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with about :data:`HELD` bytes of text."""
+    for batch in batches:
+        for low, high, _, _ in A.pieces(*A.text_buffer(batch.column("text")), HELD):
+            yield batch.slice(low, high - low)
+
+
 def _rows(rule: Rule, shared):
     """Batches of ``d, text`` to rows ``route, d, tag, other``; ``tag`` holds the kind and a set size.
 
@@ -220,7 +227,7 @@ def _rows(rule: Rule, shared):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(at, HELD) for b in batches for at in range(0, len(b), HELD)):
+        for batch in _held(batches):
             ids = batch.column("d").to_numpy()
             size, digest = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.uint64)
             who, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
