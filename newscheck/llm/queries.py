@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from newscheck.session import materialize
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -142,7 +144,7 @@ def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     from newscheck.llm import fim
 
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return fim.digests(fim.turn(fim.store(docs)))
+    return fim.digests(fim.turn(materialize(fim.store(docs), "frames")))
 
 
 @_query
