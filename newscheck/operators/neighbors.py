@@ -1,14 +1,26 @@
-"""Nearest-neighbour graph by cosine similarity."""
+"""Nearest-neighbour graph by cosine similarity: exact, or by neighbour descent for many points."""
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from newscheck.operators.topk import topk_dot
+from newscheck.session import discard, materialize
 
 # Fixed value: neighbours of the graph, a point itself being the first.
 NEIGHBOURS = 15
+# Neighbour descent: neighbours kept for each one asked for, random starts, points that are
+# compared with each other in a start, and the share of changed edges at which it ends.
+POOL, STARTS, BUCKET, FEW = 2, 4, 512, 0.001
+SEED = 42
+_EDGES = "u long, w long, s double"
 
 
 def _unit(vector: str) -> Column:
@@ -37,3 +49,148 @@ def knn_graph(
         "rank",
         F.col("score").alias("cosine"),
     )
+
+
+def _direction(vector: str) -> Column:
+    """Components as :func:`_unit` has them, without their places."""
+    return F.transform(_unit(vector), lambda c: c["v"])
+
+
+def _matrix(vectors: pa.Array, width: int) -> np.ndarray:
+    """Vectors as rows; shorter ones are filled up with zeros."""
+    sizes = np.diff(vectors.offsets.to_numpy())
+    out = np.zeros((len(sizes), width))
+    out[np.repeat(np.arange(len(sizes)), sizes), np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = vectors.flatten().to_numpy()
+    return out
+
+
+def _codes(width: int, bits: int, starts: int):
+    """Rows ``id, v`` to rows ``id, start, code``: the sides of random planes through the origin."""
+    planes = np.random.default_rng(SEED).standard_normal((width, starts * bits))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            side = (_matrix(batch.column("v"), width) @ planes > 0).reshape(n, starts, bits)
+            code = (side * (1 << np.arange(bits))).sum(2).astype(np.int64)
+            ids = np.repeat(batch.column("id").to_numpy(), starts)
+            start = np.tile(np.arange(starts, dtype=np.int32), n)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(start), pa.array(code.ravel())], ["id", "start", "code"])
+
+    return run
+
+
+def _edges(u: np.ndarray, w: np.ndarray, s: np.ndarray) -> dict[str, pa.Array]:
+    return {"u": pa.array(u, pa.int64()), "w": pa.array(w, pa.int64()), "s": pa.array(s, pa.float64())}
+
+
+def _started(points: DataFrame, n: int, width: int, keep: int) -> DataFrame:
+    """First edges: the ``keep`` best of every point within its buckets of random codes.
+
+    A bucket above :data:`BUCKET` points, as many equal vectors make it, is cut by a hash.
+    """
+    bits = min(62, max(1, math.ceil(math.log2(max(2.0, n / BUCKET)))))
+    coded = materialize(points.select("id", "v").mapInArrow(_codes(width, bits, STARTS), "id long, start int, code long"), "codes")
+    sizes = coded.groupBy("start", "code").agg(F.ceil(F.count("*") / BUCKET).alias("parts"))
+    dealt = coded.join(sizes, ["start", "code"]).withColumn("part", F.pmod(F.xxhash64("id", "start"), F.col("parts")))
+
+    def compare(bucket: pa.Table) -> pa.Table:
+        ids, m = bucket.column("id").to_numpy(), _matrix(bucket.column("v").combine_chunks(), width)
+        near = m @ m.T
+        np.fill_diagonal(near, -np.inf)
+        k = min(keep, len(ids) - 1)
+        best = np.argpartition(-near, k - 1, axis=1)[:, :k] if k > 0 else np.zeros((len(ids), 0), int)
+        row = np.repeat(np.arange(len(ids)), k)
+        return pa.table(_edges(ids[row], ids[best.ravel()], near[row, best.ravel()]))
+
+    met = dealt.join(points.select("id", "v"), "id").groupBy("start", "code", "part").applyInArrow(compare, _EDGES)
+    first = materialize(_kept(met.withColumn("fresh", F.lit(True)), keep), "edges")
+    discard(coded)
+    return first
+
+
+def _kept(edges: DataFrame, keep: int) -> DataFrame:
+    """Each edge once, fresh if it is new, and the ``keep`` best of every point."""
+    once = edges.groupBy("u", "w").agg(F.max("s").alias("s"), F.min("fresh").alias("fresh"))
+    best = W.partitionBy("u").orderBy(F.desc("s"), "w")
+    return once.withColumn("n", F.row_number().over(best)).where(F.col("n") <= keep).drop("n")
+
+
+def _met(width: int):
+    """Rows ``v, w, fresh, least, x`` (vector of w), those of one ``v`` in a row, to pairs of its ``w`` that are better than ``least``."""
+
+    def pairs(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        ids, least = rows.column("w").to_numpy(), rows.column("least").to_numpy()
+        fresh = rows.column("fresh").to_numpy(zero_copy_only=False)
+        m = _matrix(rows.column("x"), width)
+        v = rows.column("v").to_numpy()
+        cuts = np.append(np.flatnonzero(np.append(True, v[1:] != v[:-1])), len(v))
+        found = []
+        for a, b in zip(cuts, cuts[1:]):
+            if fresh[a:b].any():
+                near = m[a:b] @ m[a:b].T
+                good = (near > least[a:b, None]) & (fresh[a:b, None] | fresh[None, a:b])
+                np.fill_diagonal(good, False)
+                i, j = np.nonzero(good)
+                found.append((ids[a + i], ids[a + j], near[i, j]))
+        return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            v = batch.column("v").to_numpy()
+            first = int(np.searchsorted(v, v[-1]))  # the last one may go on in the next batch
+            if first:
+                whole = pa.Table.from_batches([*held, batch.slice(0, first)]).combine_chunks().to_batches()
+                held = []
+                for part in whole:
+                    yield pa.RecordBatch.from_pydict(_edges(*pairs(part)))
+            held.append(batch.slice(first))
+        for part in pa.Table.from_batches(held).combine_chunks().to_batches() if held else ():
+            yield pa.RecordBatch.from_pydict(_edges(*pairs(part)))
+
+    return run
+
+
+def _round(edges: DataFrame, points: DataFrame, width: int, keep: int) -> DataFrame:
+    """Edges after every point has introduced its neighbours, in both directions, to each other."""
+    back = W.partitionBy("w").orderBy(F.desc("s"), "u")
+    # best edges that lead to a point, as many as lead away from it
+    rev = edges.withColumn("n", F.row_number().over(back)).where(F.col("n") <= keep)
+    both = edges.select(F.col("u").alias("v"), "w", "fresh").union(rev.select(F.col("w").alias("v"), F.col("u").alias("w"), "fresh"))
+    both = both.groupBy("v", "w").agg(F.max("fresh").alias("fresh"))
+    least = edges.groupBy("u").agg(F.when(F.count("*") >= keep, F.min("s")).otherwise(-2.0).alias("least"))
+    known = points.join(least, points["id"] == least["u"], "left").select(
+        F.col("id").alias("w"), F.col("v").alias("x"), F.coalesce("least", F.lit(-2.0)).alias("least")
+    )
+    met = both.join(known, "w").select("v", "w", "fresh", "least", "x").repartition("v").sortWithinPartitions("v")
+    new = met.mapInArrow(_met(width), _EDGES).groupBy("u", "w").agg(F.max("s").alias("s")).withColumn("fresh", F.lit(True))
+    return _kept(edges.withColumn("fresh", F.lit(False)).union(new), keep)
+
+
+def knn_descent(
+    points: DataFrame, id_column: str, vector: str, k: int = NEIGHBOURS, pool: int = POOL, few: float = FEW
+) -> DataFrame:
+    """``vec_id, neighbour_id, rank, cosine`` as :func:`knn_graph` has them, by neighbour descent.
+
+    For more points than can all be compared: work grows with points x (``pool`` x ``k``)
+    squared x rounds. Points start with the best of some buckets of random projections; in
+    each round every point introduces its neighbours (those it has and those that have it,
+    ``pool`` x ``k`` each) to each other, until at most a share ``few`` of the edges is
+    new. Cosines are exact, neighbours approximate. Ids are unique.
+    """
+    keep = pool * k
+    unit = materialize(points.select(F.col(id_column).cast("long").alias("id"), _direction(vector).alias("v")), "unit")
+    n, width = unit.agg(F.count("*"), F.max(F.size("v"))).first()
+    edges = _started(unit, n, width or 1, keep)
+    while edges.where("fresh").count() > few * keep * n:
+        further = materialize(_round(edges, unit, width, keep), "edges")
+        discard(edges)
+        edges = further
+    own = unit.select(F.col("id").alias("u"), F.col("id").alias("w"), F.aggregate("v", F.lit(0.0), lambda s, v: s + v * v).alias("s"))
+    order = W.partitionBy("u").orderBy(F.desc("cosine"), "w")
+    every = edges.select("u", "w", "s").union(own).withColumn("cosine", F.round("s", 6))
+    best = every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return best.select(F.col("u").alias("vec_id"), F.col("w").alias("neighbour_id"), "rank", "cosine")

@@ -2,7 +2,8 @@
 
 Randomised subspace iteration: every step is one pass over the documents in which
 each task multiplies its own rows and hands on a (features x components) block,
-summed in a tree. Only such blocks, bounded by the vocabulary, reach the driver.
+summed in a tree. Such blocks are sent and summed up to a size; beyond it the basis is a
+table (:mod:`newscheck.operators.factor`).
 """
 
 from __future__ import annotations
@@ -16,20 +17,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newscheck.functions.labels import label_name
+from newscheck.operators.factor import TableReducer, fit_table, project_table
 from newscheck.operators.terms import to_vectors
 from newscheck.operators.vectors import Weights
 from newscheck.session import materialize
 
-# Components beyond those asked for, passes, seed, dimensions of the
+# Components beyond those asked for, seed, dimensions of the
 # hybrid vector and of the reductions done ahead of a layout.
 OVERSAMPLE = 10
-PASSES = 5
 SEED = 42
 HYBRID_DIMENSIONS = 256
 TSNE_DIMENSIONS, TSNE_ABOVE = 50, 50
 UMAP_DIMENSIONS, UMAP_ABOVE = 100, 1000
-# features x components above this would not fit a broadcast (512 MB)
-_MOST_CELLS = 1 << 26
+# The iteration ends when the residual of the eigenvalue equation of all components is at
+# most so large a part of the largest eigenvalue.
+RESIDUAL = 1e-4
+# Features x components that are sent to a task (32 MB); a larger basis is a table.
+SENT_CELLS = 1 << 22
 
 
 @dataclass(frozen=True)
@@ -41,6 +45,9 @@ class Reducer:
     mean: np.ndarray
     singular_values: np.ndarray
     explained_variance_ratio: np.ndarray
+    average: np.ndarray
+    n_docs: int
+    total_variance: float
 
 
 def sparse_rows(weights: Weights) -> DataFrame:
@@ -99,13 +106,19 @@ def _orient(components: np.ndarray) -> np.ndarray:
     return components * np.where(signs == 0, 1, signs)[:, None]
 
 
-def fit_reducer(rows: DataFrame, n_docs: int, n_features: int, k: int, method: str = "svd") -> Reducer:
-    """Fit on ``doc_id, vec``, one row per document."""
+def fit_reducer(
+    rows: DataFrame, n_docs: int, n_features: int, k: int, method: str = "svd", residual: float = RESIDUAL
+) -> Reducer | TableReducer:
+    """Fit on ``doc_id, vec``, one row per document, until the stated residual is reached.
+
+    A basis above :data:`SENT_CELLS` numbers is kept as a table and neither sent nor
+    brought to the driver.
+    """
     if method not in ("svd", "pca"):
         raise ValueError(f"unknown method {method!r}: use 'svd' or 'pca'")
     width = min(k + OVERSAMPLE, n_features)
-    if n_features * width > _MOST_CELLS:
-        raise ValueError("too many features: reduce max_features or k")
+    if n_features * width > SENT_CELLS:
+        return fit_table(rows, n_docs, k, method, OVERSAMPLE, residual, SEED)
     context = rows.sparkSession.sparkContext
 
     def moments(batch: pa.RecordBatch) -> np.ndarray:
@@ -133,19 +146,61 @@ def fit_reducer(rows: DataFrame, n_docs: int, n_features: int, k: int, method: s
         return product - n_docs * np.outer(mean, mean @ q)
 
     q = np.linalg.qr(np.random.default_rng(SEED).standard_normal((n_features, width)))[0]
-    for _ in range(PASSES):
-        q = np.linalg.qr(gram(q))[0]
-    values, turn = np.linalg.eigh(q.T @ gram(q))
-    order = np.argsort(values)[::-1][:k]
+    while True:
+        product = gram(q)
+        values, turn = np.linalg.eigh(q.T @ product)
+        order = np.argsort(values)[::-1][:k]
+        left = product @ turn[:, order] - q @ (turn[:, order] * values[order])
+        # rounding leaves about the part 1e-12 of the largest
+        if np.linalg.norm(left, axis=0).max() <= max(residual, 1e-10) * max(values.max(), 0):
+            break
+        q = np.linalg.qr(product)[0]
     components = _orient((q @ turn[:, order]).T)
     squares = np.maximum(values[order], 0)
     variance = squares / n_docs - (0 if method == "pca" else (components @ first) ** 2)
     ratio = variance / total_variance if total_variance > 0 else np.zeros(len(order))
-    return Reducer(method, components, mean, np.sqrt(squares), ratio)
+    return Reducer(method, components, mean, np.sqrt(squares), ratio, first, n_docs, float(total_variance))
+
 
+def merge_reducers(one: Reducer, other: Reducer, k: int | None = None) -> Reducer:
+    """The reducer of both sets of documents, from their reducers alone.
 
-def project(rows: DataFrame, reducer: Reducer) -> DataFrame:
-    """``doc_id, vector``: documents in the reduced space; no shuffle."""
+    Both are of one method and one vocabulary. The scaled bases side by side (for PCA with
+    the step between the means) have the singular values of all documents, so far as the parts
+    kept theirs: with as many components as the rank it is what fitting anew gives,
+    else what the parts dropped is missing.
+    """
+    if one.method != other.method or one.components.shape[1] != other.components.shape[1]:
+        raise ValueError("reducers of different methods or vocabularies")
+    n = one.n_docs + other.n_docs
+    if not one.n_docs or not other.n_docs:
+        return one if one.n_docs else other
+    average = (one.n_docs * one.average + other.n_docs * other.average) / n
+    step = one.average - other.average
+    columns = [one.components.T * one.singular_values, other.components.T * other.singular_values]
+    if one.method == "pca":
+        columns.append(np.sqrt(one.n_docs * other.n_docs / n) * step[:, None])
+    basis, values, _ = np.linalg.svd(np.concatenate(columns, axis=1), full_matrices=False)
+    k = min(k or max(len(one.components), len(other.components)), len(values))
+    components, values = _orient(basis[:, :k].T), values[:k]
+    total = (one.n_docs * one.total_variance + other.n_docs * other.total_variance) / n
+    total += one.n_docs * other.n_docs / n**2 * float(step @ step)
+    variance = values**2 / n - (0 if one.method == "pca" else (components @ average) ** 2)
+    ratio = variance / total if total > 0 else np.zeros(k)
+    mean = average if one.method == "pca" else np.zeros(len(average))
+    return Reducer(one.method, components, mean, values, ratio, average, n, total)
+
+
+def extend_reducer(reducer: Reducer, rows: DataFrame, n_docs: int) -> Reducer:
+    """A saved reducer after ``n_docs`` more documents (``doc_id, vec``, same vocabulary); the old ones are not read."""
+    k, n_features = reducer.components.shape
+    return merge_reducers(reducer, fit_reducer(rows, n_docs, n_features, k, reducer.method), k)
+
+
+def project(rows: DataFrame, reducer: Reducer | TableReducer) -> DataFrame:
+    """``doc_id, vector``: documents in the reduced space; no shuffle unless the basis is a table."""
+    if isinstance(reducer, TableReducer):
+        return project_table(rows, reducer)
     q = np.ascontiguousarray(reducer.components.T)
     shift = reducer.mean @ q
     sent = rows.sparkSession.sparkContext.broadcast((q, shift))
@@ -193,33 +248,42 @@ def hybrid_reducer(
     return fit_reducer(rows, weights.n_docs, n_features, k, kinds[method])
 
 
-def component_table(spark: SparkSession, reducer: Reducer) -> DataFrame:
-    """``component, singular_value, explained_variance_ratio, loadings``: the model as rows."""
+def component_table(spark: SparkSession, reducer: Reducer | TableReducer) -> DataFrame:
+    """``component, singular_value, explained_variance_ratio, loadings``: the model as rows.
+
+    A basis that is a table has its loadings by term, in ``reducer.basis``, and here null.
+    """
     schema = "component int, singular_value double, explained_variance_ratio double, loadings array<double>"
     rows = [
-        (i, float(reducer.singular_values[i]), float(reducer.explained_variance_ratio[i]), c.tolist())
-        for i, c in enumerate(reducer.components)
+        (i, float(s), float(ratio), reducer.components[i].tolist() if isinstance(reducer, Reducer) else None)
+        for i, (s, ratio) in enumerate(zip(reducer.singular_values, reducer.explained_variance_ratio))
     ]
     return spark.createDataFrame(rows, schema)
 
 
-def save_reducer(spark: SparkSession, reducer: Reducer, path: str) -> None:
+def save_reducer(spark: SparkSession, reducer: Reducer | TableReducer, path: str) -> None:
     component_table(spark, reducer).write.parquet(f"{path}/components")
-    config = [(reducer.method, reducer.mean.tolist())]
-    spark.createDataFrame(config, "method string, mean array<double>").write.parquet(f"{path}/config")
-
-
-def load_reducer(spark: SparkSession, path: str) -> Reducer:
-    """Read a saved model back: k rows of bounded size."""
+    large = isinstance(reducer, TableReducer)
+    if large:
+        reducer.basis.write.parquet(f"{path}/basis")
+    none: list[float] = []
+    mean, average = (none, none) if large else (reducer.mean.tolist(), reducer.average.tolist())
+    config = [(reducer.method, mean, average, reducer.n_docs, reducer.total_variance, large)]
+    schema = "method string, mean array<double>, average array<double>, n_docs long, total_variance double, large boolean"
+    spark.createDataFrame(config, schema).write.parquet(f"{path}/config")
+
+
+def load_reducer(spark: SparkSession, path: str) -> Reducer | TableReducer:
+    """Read a saved model back: k rows of bounded size, or a basis that stays a table."""
     rows = spark.read.parquet(f"{path}/components").orderBy("component").collect()
-    method, mean = spark.read.parquet(f"{path}/config").first()
-    return Reducer(
-        method,
-        np.array([r["loadings"] for r in rows]),
-        np.array(mean),
-        np.array([r["singular_value"] for r in rows]),
-        np.array([r["explained_variance_ratio"] for r in rows]),
-    )
+    c = spark.read.parquet(f"{path}/config").first()
+    values = np.array([r["singular_value"] for r in rows])
+    ratio = np.array([r["explained_variance_ratio"] for r in rows])
+    if c["large"]:
+        basis = spark.read.parquet(f"{path}/basis")
+        return TableReducer(c["method"], basis, values, ratio, c["n_docs"], c["total_variance"])
+    components, mean, average = (np.array(x) for x in ([r["loadings"] for r in rows], c["mean"], c["average"]))
+    return Reducer(c["method"], components, mean, values, ratio, average, c["n_docs"], c["total_variance"])
 
 
 def plot_points(reduced: DataFrame, articles: DataFrame, by_source: bool = False) -> DataFrame:
