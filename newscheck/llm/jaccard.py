@@ -9,7 +9,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newscheck.llm import arrays as A
@@ -300,16 +300,17 @@ class _Lists:
     def __init__(self, sets: list[np.ndarray]) -> None:
         self.size = np.array([len(s) for s in sets], np.int64)
         flat = np.concatenate(sets)
-        order = np.argsort(flat, kind="stable")
-        self.element, first = np.unique(flat[order], return_index=True)
-        self.first = np.append(first, len(flat))
-        self.owner = np.repeat(np.arange(len(sets)), self.size)[order]
+        order = np.argsort(flat)
+        flat = flat[order]
+        self.owner = np.repeat(np.arange(len(sets), dtype=np.int32), self.size)[order]
+        del order
+        self.first = np.append(np.flatnonzero(np.append(True, flat[1:] != flat[:-1])), len(flat))
+        self.element = flat[self.first[:-1]]
 
     def similar(self, s: np.ndarray, percent: int) -> np.ndarray:
         """Numbers of the sets similar enough to ``s``."""
-        at = np.searchsorted(self.element, s)
-        at = at[at < len(self.element)]
-        at = at[np.isin(self.element[at], s)] if len(at) else at
+        at = np.minimum(np.searchsorted(self.element, s), len(self.element) - 1)
+        at = at[self.element[at] == s]
         lists = self.owner[A.ragged(self.first[at], self.first[at + 1] - self.first[at])]
         common = np.bincount(lists, minlength=len(self.size))
         return np.flatnonzero((common > 0) & (100 * common >= percent * (self.size + len(s) - common)))
@@ -340,27 +341,61 @@ def link_block(ids: np.ndarray, sets: list[np.ndarray], probe: np.ndarray, perce
     return out
 
 
-def _links(words: int, percent: int):
-    """Rows ``place, d, text, probe``, places in a row, to edges ``a, b``."""
+class _Place:
+    """Documents that meet: those listed with each other or, if others stream past, only with these."""
+
+    def __init__(self, percent: int) -> None:
+        self.percent = percent
+        self.ids: list[int] = []
+        self.sets: list[np.ndarray] = []
+        self.probe: list[bool] = []
+        self.lists: _Lists | None = None
 
-    def settle(rows: list[tuple[int, np.ndarray, bool]]) -> list[tuple[int, int]]:
-        if len(rows) < 2:
+    def add(self, d: int, s: np.ndarray, probe: bool) -> None:
+        self.ids.append(d)
+        self.sets.append(s.copy())
+        self.probe.append(probe)
+
+    def pass_by(self, d: int, s: np.ndarray) -> list[tuple[int, int]]:
+        """Edges of one more document; of documents connected here already, to one only."""
+        if not self.ids:
+            return []
+        if self.lists is None:
+            self.lists = _Lists(self.sets)
+            self.sets = []
+            self.group = np.arange(len(self.ids))
+        near = np.unique(self.group[self.lists.similar(s, self.percent)])
+        if len(near) > 1:
+            self.group[np.isin(self.group, near)] = near[0]
+        return [(d, self.ids[g]) for g in near]
+
+    def settle(self) -> list[tuple[int, int]]:
+        """Edges among the listed, if none passed by."""
+        if self.lists is not None or len(self.ids) < 2:
             return []
-        return link_block(np.array([r[0] for r in rows]), [r[1] for r in rows], np.array([r[2] for r in rows]), percent)
+        return link_block(np.array(self.ids), self.sets, np.array(self.probe), self.percent)
+
+
+def _links(words: int, percent: int):
+    """Rows ``place, side, d, text, probe``, places in a row and listed documents (side 0) first, to edges ``a, b``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, rows = None, []
+        at, here = None, _Place(percent)
         for batch in batches:
             edges: list[tuple[int, int]] = []
-            named = list(zip(*(batch.column(c).to_pylist() for c in ("place", "d", "probe"))))
+            named = list(zip(*(batch.column(c).to_pylist() for c in ("place", "side", "d", "probe"))))
             for low, high, sets, begin in _batch_sets(batch, words):
-                for i, (at, d, probe) in enumerate(named[low:high]):
-                    if at != place:
-                        edges += settle(rows)
-                        place, rows = at, []
-                    rows.append((d, sets[begin[i] : begin[i + 1]].copy(), probe))
+                for i, (place, side, d, probe) in enumerate(named[low:high]):
+                    if place != at:
+                        edges += here.settle()
+                        at, here = place, _Place(percent)
+                    s = sets[begin[i] : begin[i + 1]]
+                    if side:
+                        edges += here.pass_by(d, s)
+                    else:
+                        here.add(d, s, probe)
             yield _edges(edges)
-        yield _edges(settle(rows))
+        yield _edges(here.settle())
 
     def _edges(edges: list[tuple[int, int]]) -> pa.RecordBatch:
         both = np.array(edges, np.int64).reshape(-1, 2)
@@ -418,7 +453,8 @@ def _classes(rows: DataFrame, words: int, percent: int, block: int) -> DataFrame
     # texts take half the space of their sets, which are made again where they are compared
     held = materialize(rows.join(family.hint("merge"), "d").select("family", "m", "head", "d", "text"), "held")
     release(spark)
-    small = held.where(F.col("m") <= block).select(F.col("family").alias("place"), "d", "text", F.lit(True).alias("probe"))
+    side = lambda n: (n if isinstance(n, Column) else F.lit(n)).cast("int").alias("side")
+    small = held.where(F.col("m") <= block).select(F.col("family").alias("place"), side(0), "d", "text", F.lit(True).alias("probe"))
     # large families: first against one member
     large = held.where(F.col("m") > block)
     sets_of = lambda t: t.select("family", "d", "text").mapInArrow(A.tidy(_family_sets(words), "powers"), "family long, d long, s array<long>")
@@ -430,7 +466,8 @@ def _classes(rows: DataFrame, words: int, percent: int, block: int) -> DataFrame
     every = large.drop("head").join(tested.hint("merge"), ["family", "d"])
     loose = every.where("not all_close")
     # the loose ones of a family in parts: each part meets each part, itself too, once; the
-    # others, which only loose ones have to meet, in parts of their own
+    # others, which only loose ones have to meet, in parts of their own. A task lists one part
+    # and has the other pass by
     count = F.count_if(~F.col("all_close"))
     spread = tested.groupBy("family").agg(F.ceil(count / F.lit(block)).alias("columns"), F.greatest(F.lit(1), F.ceil((F.count("*") - count) / F.lit(block))).alias("lines"))
     spread = spread.where("columns > 0")
@@ -440,11 +477,11 @@ def _classes(rows: DataFrame, words: int, percent: int, block: int) -> DataFrame
     rest = every.where("all_close").join(spread, "family").withColumn("part", part("lines"))
     place = lambda kind, one, two: F.xxhash64(F.lit(kind), "family", one, two).alias("place")
     probe = lambda yes: F.lit(yes).alias("probe")
-    loose_pairs = loose.withColumn("with", across("columns")).select(place(0, F.least("part", "with"), F.greatest("part", "with")), "d", "text", probe(True))
-    asked = loose.withColumn("with", across("lines")).select(place(1, F.col("with"), F.col("part")), "d", "text", probe(True))
-    others = rest.withColumn("with", across("columns")).select(place(1, F.col("part"), F.col("with")), "d", "text", probe(False))
+    loose_pairs = loose.withColumn("with", across("columns")).select(place(0, F.least("part", "with"), F.greatest("part", "with")), side(F.col("part") > F.col("with")), "d", "text", probe(True))
+    asked = loose.withColumn("with", across("lines")).select(place(1, F.col("with"), F.col("part")), side(1), "d", "text", probe(True))
+    others = rest.withColumn("with", across("columns")).select(place(1, F.col("part"), F.col("with")), side(0), "d", "text", probe(False))
     blocks = loose_pairs.union(asked).union(others)
-    found = small.union(blocks).repartition("place").sortWithinPartitions("place", "d").mapInArrow(A.tidy(_links(words, percent), "powers"), "a long, b long")
+    found = small.union(blocks).repartition("place").sortWithinPartitions("place", "side", "d").mapInArrow(A.tidy(_links(words, percent), "powers"), "a long, b long")
     stars = tested.where("close and d <> head").select(F.col("d").alias("a"), F.col("head").alias("b"))
     roots = components(found.union(stars).union(equal))
     discard(held, family, tested)
