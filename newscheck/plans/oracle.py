@@ -125,6 +125,23 @@ hits AS (
   FROM scored WHERE score > 0 QUALIFY rank <= 10)""",
 )
 
+_VOTES = """
+SELECT query_id,
+       CASE WHEN NOT has_terms THEN 'UNKNOWN' WHEN p >= 0.5 THEN 'FAKE' ELSE 'REAL' END AS prediction,
+       CASE WHEN has_terms THEN round(abs(p - 0.5) * 2, 6) ELSE 0.0 END AS confidence,
+       p AS fake_probability,
+       CASE WHEN p < 0.3 THEN 'low' WHEN p < 0.7 THEN 'medium' ELSE 'high' END AS risk,
+       similar_fake, similar_real
+FROM (
+  SELECT u.doc_id AS query_id, u.doc_id IN (SELECT a.doc_id FROM asked a JOIN vocab v ON a.term = v.term)
+           AS has_terms,
+         round(coalesce(CASE WHEN sum(h.score) > 0 THEN
+           sum(CASE WHEN l.is_fake = 1 THEN h.score ELSE 0.0 END) / sum(h.score) END, 0.5), 6) AS p,
+         count(*) FILTER (l.is_fake = 1) AS similar_fake, count(*) FILTER (l.is_fake = 0) AS similar_real
+  FROM unlabelled u LEFT JOIN hits h ON h.query_id = u.doc_id
+  LEFT JOIN labelled l ON l.doc_id = h.doc_id GROUP BY u.doc_id)"""
+
+
 def _tfidf(size: int) -> tuple[str, ...]:
     return (
         _grams("grams", "every_doc"),
@@ -217,6 +234,55 @@ _WITHOUT = """
     lambda w: w <> '' AND NOT list_contains(listed, w)), ' ')"""
 
 
+# every_doc with its compounds joined, by a lexicon of its own runs of words
+_SEGMENTS = """
+split_words AS (
+  SELECT doc_id, list_filter(string_split(text, ' '), lambda w: w <> '') AS w FROM every_doc),
+lexicon AS (
+  SELECT gram FROM (
+    SELECT doc_id, w[i] || '_' || w[i + 1] AS gram
+    FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM split_words)
+    UNION ALL
+    SELECT doc_id, w[i] || '_' || w[i + 1] || '_' || w[i + 2]
+    FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM split_words))
+  GROUP BY gram HAVING count(DISTINCT doc_id) >= 5),
+places AS (
+  SELECT doc_id, i, w[i] AS one, w[i] || '_' || w[i + 1] AS two,
+         w[i] || '_' || w[i + 1] || '_' || w[i + 2] AS three,
+         w[i] || '_' || w[i + 1] || '_' || w[i + 2] || '_' || w[i + 3] AS four
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM split_words)),
+longest AS (
+  SELECT p.doc_id, p.i, coalesce(d.gram, c.gram, b.gram, p.one) AS word,
+         CASE WHEN d.gram IS NOT NULL THEN 4 WHEN c.gram IS NOT NULL THEN 3
+              WHEN b.gram IS NOT NULL THEN 2 ELSE 1 END AS size
+  FROM places p LEFT JOIN lexicon b ON b.gram = p.two LEFT JOIN lexicon c ON c.gram = p.three
+  LEFT JOIN lexicon d ON d.gram = p.four),
+walk AS (
+  SELECT doc_id, i, size, word FROM longest WHERE i = 1
+  UNION ALL
+  SELECT l.doc_id, l.i, l.size, l.word
+  FROM walk k JOIN longest l ON l.doc_id = k.doc_id AND l.i = k.i + k.size),
+segmented AS (
+  SELECT e.doc_id, coalesce(string_agg(k.word, ' ' ORDER BY k.i), '') AS text
+  FROM every_doc e LEFT JOIN walk k ON k.doc_id = e.doc_id GROUP BY e.doc_id)"""
+
+
+# the same tables, but for texts that are segmented and without stopwords
+_NORMAL_ARTICLES = ", ".join(
+    (
+        ARTICLES[: ARTICLES.index("prepared AS (")].strip().rstrip(",").replace("articles AS (", "cleaned_articles AS (", 1),
+        "every_doc AS (SELECT id AS doc_id, normalized_content AS text FROM cleaned_articles)",
+        _SEGMENTS,
+        _STOPWORDS,
+        f"""
+normal AS (SELECT doc_id, {_WITHOUT} AS text FROM segmented, stop_list),
+articles AS (
+  SELECT c.* REPLACE (n.text AS normalized_content) FROM cleaned_articles c JOIN normal n ON n.doc_id = c.id)""",
+        ARTICLES[ARTICLES.index("labelled AS (") : ARTICLES.index("every_doc AS (")].strip().rstrip(","),
+    )
+)
+
+
 def _joined(label: str, where: str) -> str:
     return _articles(
         f"""
@@ -350,36 +416,9 @@ FROM events""",
 WITH {_STOPWORDS}, cleaned AS (
   SELECT conv_id * 1000 + turn AS doc_id, {_clean("text")} AS text FROM conversations)
 SELECT doc_id, {_WITHOUT} AS text FROM cleaned, stop_list""",
-    "segment_words": f"""
-WITH RECURSIVE {ARTICLES},
-split_words AS (
-  SELECT doc_id, list_filter(string_split(text, ' '), lambda w: w <> '') AS w FROM every_doc),
-lexicon AS (
-  SELECT gram FROM (
-    SELECT doc_id, w[i] || '_' || w[i + 1] AS gram
-    FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM split_words)
-    UNION ALL
-    SELECT doc_id, w[i] || '_' || w[i + 1] || '_' || w[i + 2]
-    FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM split_words))
-  GROUP BY gram HAVING count(DISTINCT doc_id) >= 5),
-places AS (
-  SELECT doc_id, i, w[i] AS one, w[i] || '_' || w[i + 1] AS two,
-         w[i] || '_' || w[i + 1] || '_' || w[i + 2] AS three,
-         w[i] || '_' || w[i + 1] || '_' || w[i + 2] || '_' || w[i + 3] AS four
-  FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM split_words)),
-longest AS (
-  SELECT p.doc_id, p.i, coalesce(d.gram, c.gram, b.gram, p.one) AS word,
-         CASE WHEN d.gram IS NOT NULL THEN 4 WHEN c.gram IS NOT NULL THEN 3
-              WHEN b.gram IS NOT NULL THEN 2 ELSE 1 END AS size
-  FROM places p LEFT JOIN lexicon b ON b.gram = p.two LEFT JOIN lexicon c ON c.gram = p.three
-  LEFT JOIN lexicon d ON d.gram = p.four),
-walk AS (
-  SELECT doc_id, i, size, word FROM longest WHERE i = 1
-  UNION ALL
-  SELECT l.doc_id, l.i, l.size, l.word
-  FROM walk k JOIN longest l ON l.doc_id = k.doc_id AND l.i = k.i + k.size)
-SELECT e.doc_id, coalesce(string_agg(k.word, ' ' ORDER BY k.i), '') AS text
-FROM every_doc e LEFT JOIN walk k ON k.doc_id = e.doc_id GROUP BY e.doc_id""",
+    "segment_words": f"WITH RECURSIVE {ARTICLES}, {_SEGMENTS} SELECT doc_id, text FROM segmented",
+    "normalize_segmented": f"WITH RECURSIVE {ARTICLES}, {_SEGMENTS}, {_STOPWORDS} "
+    f"SELECT doc_id, {_WITHOUT} AS text FROM segmented, stop_list",
     "extract_page_fields": f"""
 WITH {_PAGE_TEXT}
 SELECT t.page_id, t.title, t.url, p.text AS summary, CAST(NULL AS VARCHAR) AS date_text
@@ -527,24 +566,8 @@ FROM asked a JOIN vocab v ON a.term = v.term, postings_n, postings_avg""",
     "index_lookup_embeddings": _articles(
         _ROUNDED + "postings WHERE doc_id IN (SELECT doc_id FROM fakes)", *_INDEX_ALL
     ),
-    "detect_vote": _articles(
-        """
-SELECT query_id,
-       CASE WHEN NOT has_terms THEN 'UNKNOWN' WHEN p >= 0.5 THEN 'FAKE' ELSE 'REAL' END AS prediction,
-       CASE WHEN has_terms THEN round(abs(p - 0.5) * 2, 6) ELSE 0.0 END AS confidence,
-       p AS fake_probability,
-       CASE WHEN p < 0.3 THEN 'low' WHEN p < 0.7 THEN 'medium' ELSE 'high' END AS risk,
-       similar_fake, similar_real
-FROM (
-  SELECT u.doc_id AS query_id, u.doc_id IN (SELECT a.doc_id FROM asked a JOIN vocab v ON a.term = v.term)
-           AS has_terms,
-         round(coalesce(CASE WHEN sum(h.score) > 0 THEN
-           sum(CASE WHEN l.is_fake = 1 THEN h.score ELSE 0.0 END) / sum(h.score) END, 0.5), 6) AS p,
-         count(*) FILTER (l.is_fake = 1) AS similar_fake, count(*) FILTER (l.is_fake = 0) AS similar_real
-  FROM unlabelled u LEFT JOIN hits h ON h.query_id = u.doc_id
-  LEFT JOIN labelled l ON l.doc_id = h.doc_id GROUP BY u.doc_id)""",
-        *_HITS,
-    ),
+    "detect_vote": _articles(_VOTES, *_HITS),
+    "detect_normalized": f"WITH RECURSIVE {_NORMAL_ARTICLES}, {', '.join(_HITS)} {_VOTES}",
     "detect_similar_articles": _articles(
         """
 SELECT h.query_id, h.rank, h.doc_id, coalesce(substring(l.title, 1, 100), 'N/A') AS title,
@@ -573,6 +596,13 @@ FROM (SELECT a.vec_id, b.vec_id AS neighbour_id,
                AS cosine
       FROM embeddings a, embeddings b)
 QUALIFY rank <= 15""",
+    "stream_upsert": _articles(
+        """
+SELECT CASE WHEN id % 5 = 0 THEN 'again ' || title ELSE title END AS title, url, source,
+       CASE WHEN id % 3 = 0 THEN 'changed' END AS summary,
+       CAST(1 + CAST(id % 6 = 0 AS INTEGER) + CAST(id % 5 = 0 AS INTEGER) AS BIGINT) AS n_changes
+FROM articles WHERE title <> ''"""
+    ),
     "stream_ingest": """
 SELECT substring(text, 1, 100) AS title, 'doc://' || md5(text) AS url, source, text AS content,
        CAST(0 AS BIGINT) AS batch

@@ -30,6 +30,7 @@ from newscheck.session import materialize, scratch_path, spread
 from newscheck.sources import articles as art
 from newscheck.sources import index_store, stores
 from newscheck.streaming import articles as stream
+from newscheck.streaming import upserts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -264,14 +265,29 @@ def normalize_text(spark, sf):
     return segment.normalize(docs, stopwords=_stopwords(spark, sf))
 
 
+def _lexicon(docs: DataFrame) -> DataFrame:
+    """Runs of two or three words found in at least five documents."""
+    runs = docs.select(whitespace_words(F.col("text")).alias("words"))
+    runs = runs.select(ngrams(F.col("words"), 2, 3, segment.JOINT).alias("terms"))
+    return term_stats(runs).where("df >= 5").select("term")
+
+
 @query
 def segment_words(spark, sf):
-    """The lexicon: runs of two or three words found in at least five documents."""
     docs = _docs(_stored(spark, sf))
-    runs = docs.select(whitespace_words(F.col("text")).alias("words"))
-    runs = runs.select(ngrams(F.col("words"), 2, 3, segment.JOINT).alias("terms"))
-    lexicon = term_stats(runs).where("df >= 5").select("term")
-    return segment.segment_words(docs, lexicon)
+    return segment.segment_words(docs, _lexicon(docs))
+
+
+def _normalized(spark, sf):
+    """All articles cleaned, segmented and without stopwords."""
+    raw = _articles(spark, sf).select(F.col("id").alias("doc_id"), F.col("content").alias("text"))
+    lexicon = _lexicon(raw.select("doc_id", clean_text(F.col("text")).alias("text")))
+    return segment.normalize(raw, _stopwords(spark, sf), lexicon)
+
+
+@query
+def normalize_segmented(spark, sf):
+    return _normalized(spark, sf)
 
 
 @query
@@ -551,6 +567,15 @@ def detect_vote(spark, sf):
     return detect.detect(bm25.fit(_docs(labelled)), _queries(articles), labelled)
 
 
+@query
+def detect_normalized(spark, sf):
+    """Verdicts on texts that are cleaned, segmented and without stopwords, on both sides."""
+    normal = _normalized(spark, sf).select(F.col("doc_id").alias("id"), F.col("text").alias(TEXT))
+    articles = materialize(_articles(spark, sf).drop(TEXT).join(normal, "id"), "articles")
+    labelled = _labelled(articles)
+    return detect.detect(bm25.fit(_docs(labelled)), _queries(articles), labelled)
+
+
 @query
 def detect_similar_articles(spark, sf):
     articles = _stored(spark, sf)
@@ -662,6 +687,26 @@ def knn_graph_cosine(spark, sf):
     return neighbors.knn_graph(_table(spark, sf, "embeddings"), "vec_id", "embedding")
 
 
+@query
+def knn_graph_descent(spark, sf):
+    return neighbors.knn_descent(_table(spark, sf, "embeddings"), "vec_id", "embedding")
+
+
+@query
+def pca_extended(spark, sf):
+    """A reducer of the labelled articles takes in the others, which alone are read."""
+    articles = _stored(spark, sf)
+    index = _fitted(articles)
+    fitted = reduce.fit_reducer(
+        reduce.sparse_rows(vectors.index_weights(index)), index.n_docs, index.vocab.count(), 10, "pca"
+    )
+    new = _docs(_unlabelled(articles))
+    found = reduce.to_vectors(bm25.transform(index, new), "weight")
+    rows = materialize(reduce.with_empty(found, new), "rows")
+    extended = reduce.extend_reducer(fitted, rows, rows.count())
+    return reduce.component_table(spark, extended).select("component", "singular_value", "explained_variance_ratio")
+
+
 # streams -------------------------------------------------------------------------------
 
 
@@ -695,3 +740,24 @@ def stream_index_update(spark, sf):
     docs = new.select("doc_id", clean_text(F.col("text")).alias("text"))
     stream.maintain_index(docs, path, checkpoint)
     return _rounded(bm25.postings(index_store.load_index(spark, path)))
+
+
+@query
+def stream_upsert(spark, sf):
+    """Articles crawled three times: some new, some changed, some as before each time."""
+    source, target, checkpoint = (scratch_path(spark, name) for name in ("crawl", "changes", "stream"))
+    first = _articles(spark, sf).where("title <> ''").select("id", "title", "url", "source", "content", "crawled_at")
+    first = first.withColumns({"summary": F.lit(None).cast("string"), "sequence": F.col("id")})
+    second = first.withColumns(
+        {"sequence": F.col("id") + 1_000_000_000, "summary": F.when(F.col("id") % 3 == 0, "changed")}
+    )
+    third = second.withColumns(
+        {
+            "sequence": F.col("id") + 2_000_000_000,
+            "title": F.when(F.col("id") % 5 == 0, F.concat(F.lit("again "), "title")).otherwise(F.col("title")),
+        }
+    )
+    for records in (first.where("id % 2 = 0"), second, third):
+        records.write.mode("append").parquet(source)
+        upserts.upsert_articles(spark.readStream.schema(records.schema).parquet(source), target, checkpoint)
+    return upserts.current_articles(spark, target).select("title", "url", "source", "summary", "n_changes")
