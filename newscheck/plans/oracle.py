@@ -428,6 +428,22 @@ WHERE t.title <> '' AND t.url <> ''""",
 WITH {_PAGE_TEXT}
 SELECT g.page_id, coalesce(string_agg(p.text, chr(10) ORDER BY p.place) FILTER (p.text <> ''), '') AS content
 FROM pages g LEFT JOIN parts p ON g.page_id = p.page_id GROUP BY g.page_id""",
+    "extract_sites": f"""
+WITH {_PAGE_TEXT},
+sites AS (
+  SELECT page_id, CASE regexp_extract(url, '^https?://(blog|m)\\.', 1) WHEN '' THEN 'other'
+           ELSE regexp_extract(url, '^https?://(blog|m)\\.', 1) END AS site,
+         TIMESTAMP '2024-01-01 00:00:00' + to_seconds(page_id * 90061) AS at
+  FROM pages),
+contents AS (
+  SELECT page_id, string_agg(text, chr(10) ORDER BY place) FILTER (text <> '') AS content,
+         max(text) FILTER (place = 1) AS lead
+  FROM parts GROUP BY page_id)
+SELECT s.page_id, s.site, t.title, CASE WHEN s.site = 'blog' THEN c.lead END AS summary,
+       CASE WHEN s.site <> 'other' THEN coalesce(c.content, '') END AS content,
+       CASE s.site WHEN 'blog' THEN date_trunc('minute', s.at) WHEN 'm' THEN s.at END AS published_at,
+       CAST(NULL AS VARCHAR) AS error
+FROM sites s JOIN titles t ON t.page_id = s.page_id LEFT JOIN contents c ON c.page_id = s.page_id""",
     "prepare_for_analysis": _articles(
         """
 SELECT id, text_length, word_count, CAST(year(crawled_at) AS INTEGER) AS year,

@@ -22,6 +22,7 @@ from newscheck.operators import (
     profile,
     reduce,
     segment,
+    sites,
     vectors,
     words,
 )
@@ -300,6 +301,51 @@ def extract_page_content(spark, sf):
     return extract.extract_content(spread(_table(spark, sf, "pages")), PAGE_RULES)
 
 
+SITE_RULES = {
+    "blog": extract.SiteRules(
+        card=extract.Selector("article"),
+        title=(extract.Selector("h1"),),
+        summary=(extract.Selector("p"),),
+        date=(extract.Selector("span", "date"),),
+        container=(extract.Selector("article"),),
+    ),
+    "m": extract.SiteRules(
+        card=extract.Selector("body"),
+        title=(extract.Selector("h2"), extract.Selector("h1")),
+        date=(extract.Selector("time"),),
+        date_attribute="datetime",
+        container=(extract.Selector("div", "content"), extract.Selector("article")),
+    ),
+    "other": extract.SiteRules(
+        card=extract.Selector("article"), title=(extract.Selector("h1"),), summary=(extract.Selector("p", "lead"),)
+    ),
+}
+
+
+@query
+def extract_sites(spark, sf):
+    """Pages of three sites, two of which date their articles, each in its way."""
+    pages = spread(_table(spark, sf, "pages"))
+    site = F.regexp_extract("url", r"^https?://(blog|m)\.", 1)
+    at = F.timestamp_seconds(F.lit(1704067200) + F.col("page_id") * 90061)
+    dates = (
+        F.when(site == "blog", F.concat(F.lit('<span class="date">'), F.date_format(at, "d/M/yyyy, H:mm"), F.lit(" (GMT)</span>")))
+        .when(site == "m", F.concat(F.lit('<time datetime="'), F.date_format(at, "y-M-d H:mm:ss"), F.lit('"></time>')))
+        .otherwise("")
+    )
+    dated = pages.select(
+        "page_id",
+        "url",
+        F.replace("html", F.lit("<article>"), F.concat(F.lit("<article>"), dates)).alias("html"),
+        F.when(site == "", "other").otherwise(site).alias("site"),
+    )
+    found = sites.extract_sites(dated, SITE_RULES)
+    card = F.get("cards", F.lit(0))
+    return found.select(
+        "page_id", "site", card["title"].alias("title"), card["summary"].alias("summary"), "content", "published_at", "error"
+    )
+
+
 # profile ---------------------------------------------------------------------------
 
 
