@@ -92,6 +92,15 @@ class Codec:
         self.reachable = {i for i in self.id_of.values() if whole[i]}
         self.usable = np.array([i for i in self.reachable if self.lengths[i] <= TRIE_BYTES], np.int64)
         self.longest = int(self.lengths[self.usable].max())
+        # sizes of the tokens that end with two given bytes, the largest first
+        self.single, sizes = (1,), {}
+        for i in self.reachable:
+            if self.lengths[i] > 1:
+                sizes.setdefault(self.token[i][-2:], set()).add(int(self.lengths[i]))
+        self.endings = {two: (*sorted(found, reverse=True), 1) for two, found in sizes.items()}
+        # the same merges for single pairs: rank by pair; rank and halves by token
+        pairs = {vocab[a] << 32 | vocab[b]: k for k, (a, b) in reversed(list(enumerate(merges)))}
+        self.ranks = pairs, list(zip(self.rank.tolist(), self.left.tolist(), self.right.tolist()))
         self.suffixes = A.HashIndex()
         self.suffixes.add(self._key(self._horner(self.usable), self.lengths[self.usable]))
         self.kinds = _classes()
@@ -127,18 +136,33 @@ class Codec:
             left, right = np.where(later, self.right[left], left), np.where(later, right, self.left[right])
         return good
 
+    def _follows(self, left: int, right: int) -> bool:
+        """:meth:`_stand` for one pair of tokens."""
+        ranks, made = self.ranks
+        limit = 1 << 60
+        while True:
+            across = ranks.get(left << 32 | right)
+            if across is not None and across < limit:
+                return False
+            (a, _, inner), (b, outer, _) = made[left], made[right]
+            if a < 0 and b < 0:
+                return True
+            if a > b:
+                limit, left = a, inner
+            else:
+                limit, right = b + 1, outer
+
     def _one(self, raw: bytes) -> list[int]:
-        """Last-token states of a single long word."""
+        """Last-token states of a single long word: the trie's steps along its one path, in linear time."""
         last, back = [0] * (len(raw) + 1), [0] * (len(raw) + 1)
-        most = int(self.lengths.max())
+        usable, follows = self.endings, self._follows
         for end in range(1, len(raw) + 1):
-            for size in range(min(end, most), 0, -1):
-                t = self.id_of.get(raw[end - size : end])
-                if t in self.reachable and (
-                    size == end or self._stand(np.array([last[end - size]]), np.array([t]))[0]
-                ):
-                    last[end], back[end] = t, end - size
-                    break
+            for size in usable.get(raw[max(end - 2, 0) : end], self.single):
+                if size <= end:
+                    t = self.id_of.get(raw[end - size : end])
+                    if t in self.reachable and (size == end or follows(last[end - size], t)):
+                        last[end], back[end] = t, end - size
+                        break
         ids, at = [], len(raw)
         while at:
             ids.append(last[at])
