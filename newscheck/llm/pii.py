@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,6 +52,53 @@ NEARBY = 40
 BONUS, MALUS, THRESHOLD = 0.3, 0.2, 0.6
 
 
+# Characters of a piece of a text, and hits that are put in a row at a time.
+_PIECE_BITS, _RUN = 8, 128
+_PIECE = 1 << _PIECE_BITS
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _pieces(text: Column) -> Column:
+    """A text as pieces of equal length, so that a part of it is found without a walk over all of it."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_PIECE}}}"), F.lit(0))
+
+
+def _part(pieces: Column, start: Column, end: Column) -> Column:
+    """The text from ``start`` up to ``end``, in code points; ``end`` may lie beyond it."""
+    first = F.shiftright(start, _PIECE_BITS).cast("int")
+    held = F.array_join(F.slice(pieces, first + 1, F.shiftright(end, _PIECE_BITS).cast("int") - first + 1), "")
+    return F.substr(held, (start.bitwiseAND(_PIECE - 1) + 1).cast("int"), (end - start).cast("int"))
+
+
+def _in_row(items: Column, begin: Column, step: Callable[[Column, Column], tuple[Column, Column]], kind: str) -> Column:
+    """What ``step`` of a number and each item adds to an array of ``kind``; it gives the next number and an array.
+
+    Items are taken in runs and the runs put together at the end: adding to one array
+    each time would copy it each time.
+    """
+    none, number = F.array().cast(f"array<{kind}>"), begin.cast("long")
+
+    def one(state: Column, x: Column) -> Column:
+        at, added = step(state["at"], x)
+        return F.struct(at.cast("long").alias("at"), F.concat(state["list"], added).cast(f"array<{kind}>").alias("list"))
+
+    def run(state: Column, part: Column) -> Column:
+        done = F.aggregate(part, F.struct(state["at"].alias("at"), none.alias("list")), one)
+        return _let(done, lambda r: F.struct(r["at"].alias("at"), F.concat(state["lists"], F.array(r["list"])).alias("lists")))
+
+    def all_runs(bound: Column) -> Column:
+        places = F.when(F.size(bound) > 0, F.sequence(F.lit(1), F.size(bound), F.lit(_RUN))).otherwise(F.array().cast("array<int>"))
+        parts = F.transform(places, lambda i: F.slice(bound, i, _RUN))
+        zero = F.struct(number.alias("at"), F.array().cast(f"array<array<{kind}>>").alias("lists"))
+        return F.flatten(F.aggregate(parts, zero, run)["lists"])
+
+    return _let(items, all_runs)
+
+
 def _digits(span: Column) -> Column:
     return F.regexp_replace(span, "[^0-9]", "")
 
@@ -88,7 +137,7 @@ def _valid(kind: str, span: Column) -> Column:
     return F.lit(True)
 
 
-def _accounts(text: Column, heads: Column) -> Column:
+def _accounts(pieces: Column, heads: Column) -> Column:
     """Account numbers ``m, start`` from places of their first four characters.
 
     A number is a prefix of the run that begins there, ends before a character that is no
@@ -98,7 +147,9 @@ def _accounts(text: Column, heads: Column) -> Column:
     sizes = F.create_map(*[F.lit(x) for n, codes in ACCOUNT_SIZES.items() for code in codes.split() for x in (code, n)])
 
     def number(x: Column) -> Column:
-        ahead = F.substr(text, (x["start"] + 1).cast("int"), F.lit(2 * 34))
+        return _let(_part(pieces, x["start"], x["start"] + 2 * 34), lambda ahead: longest(x, ahead))
+
+    def longest(x: Column, ahead: Column) -> Column:
         run = F.regexp_extract(ahead, ACCOUNT, 0)
         ends = F.filter(F.sequence(F.lit(1), F.length(ahead)), lambda k: (k <= F.length(run)) & F.substr(ahead, k, F.lit(2)).rlike("(?s)^[A-Z0-9](?![A-Za-z0-9])"))
         made = F.transform(ends, lambda k: F.struct(k.alias("k"), F.regexp_replace(F.substr(ahead, F.lit(1), k), "[ -]", "").alias("bare")))
@@ -106,14 +157,14 @@ def _accounts(text: Column, heads: Column) -> Column:
         best = F.array_max(F.transform(made, lambda e: F.struct(F.coalesce(F.length(e["bare"]) == sizes[F.left(ahead, F.lit(2))], F.lit(False)).alias("own"), e["k"].alias("k"))))
         return F.struct(F.substr(ahead, F.lit(1), best["k"]).alias("m"), x["start"].alias("start"))
 
-    return F.aggregate(
-        F.filter(F.transform(heads, number), lambda x: x["m"].isNotNull()),
-        F.array().cast("array<struct<m:string,start:long>>"),
-        lambda acc, x: F.when(
-            (F.size(acc) == 0) | (x["start"] >= F.element_at(acc, -1)["start"] + F.length(F.element_at(acc, -1)["m"])),
-            F.concat(acc, F.array(x)),
-        ).otherwise(acc),
-    )
+    def later(at: Column, x: Column) -> tuple[Column, Column]:
+        free = x["start"] >= at
+        return (
+            F.when(free, x["start"] + F.length(x["m"])).otherwise(at),
+            F.when(free, F.array(F.struct(x["m"].alias("m"), x["start"].alias("start")))).otherwise(F.array().cast(f"array<{_HIT}>")),
+        )
+
+    return _in_row(F.filter(F.transform(heads, number), lambda x: x["m"].isNotNull()), F.lit(0), later, _HIT)
 
 
 _QUICK = {
@@ -126,38 +177,33 @@ _QUICK = {
     "key": lambda t: t.contains("AKIA") | t.contains("ASIA"),
     "secret": lambda t: t.rlike(r"(?i)(?:password|passwd|secret|token|api_?key)[\x20]?[=:]"),
 }
+_HIT = "struct<m:string,start:long>"
 _SPAN = "array<struct<kind:string,start:long,end:long,score:double>>"
 
 
-def _spans(kind: str, text: Column) -> Column:
+def _spans(kind: str, text: Column, pieces: Column) -> Column:
     """Confirmed spans of a kind in code points, end exclusive, with scores."""
     pattern = BASE.get(kind) or ADDED[kind]
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    # ends of the matches: each adds the gap before it and itself
-    located = F.aggregate(
-        F.arrays_zip(found.alias("m"), F.slice(between, 1, F.size(found)).alias("gap")),
-        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<m:string,start:long>>").alias("list")),
-        lambda acc, x: F.struct(
-            (acc["at"] + F.length(x["gap"]) + F.length(x["m"])).alias("at"),
-            F.concat(acc["list"], F.array(F.struct(x["m"].alias("m"), (acc["at"] + F.length(x["gap"])).alias("start")))).alias("list"),
-        ),
-    )["list"]
-    confirmed = _accounts(text, located) if kind == "iban" else F.filter(located, lambda x: _valid(kind, x["m"]))
+    gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
+
+    def located(at: Column, x: Column) -> tuple[Column, Column]:
+        start = at + x["gap"]
+        return start + F.length(x["m"]), F.array(F.struct(x["m"].alias("m"), start.cast("long").alias("start")))
+
+    # each match adds the gap before it and itself
+    matches = _let(found, lambda m: F.arrays_zip(m.alias("m"), F.slice(gaps, 1, F.size(m)).alias("gap")))
+    hits = _in_row(matches, F.lit(0), located, _HIT)
+    confirmed = _accounts(pieces, hits) if kind == "iban" else F.filter(hits, lambda x: _valid(kind, x["m"]))
 
     def scored(x: Column) -> Column:
-        begin = F.greatest(x["start"] - NEARBY, F.lit(0))
-        near = F.lower(F.concat_ws(
-            " ",
-            F.substr(text, (begin + 1).cast("int"), (x["start"] - begin).cast("int")),
-            F.substr(text, (x["start"] + F.length(x["m"]) + 1).cast("int"), F.lit(NEARBY)),
-        ))
-        own = F.lower(x["m"]).rlike(CONTEXT[kind]) if kind == "secret" else F.lit(False)
-        score = (
-            F.lit(PRIOR[kind])
-            + F.when(near.rlike(CONTEXT[kind]) | own, BONUS).otherwise(0.0)
-            - F.when(near.rlike(AGAINST), MALUS).otherwise(0.0)
-        )
+        end = x["start"] + F.length(x["m"])
+        before = _part(pieces, F.greatest(x["start"] - NEARBY, F.lit(0)), x["start"])
+        return _let(F.lower(F.concat_ws(" ", before, _part(pieces, end, end + NEARBY))), lambda near: span(x, near))
+
+    def span(x: Column, near: Column) -> Column:
+        speaks = near.rlike(CONTEXT[kind]) | F.lower(x["m"]).rlike(CONTEXT[kind]) if kind == "secret" else near.rlike(CONTEXT[kind])
+        score = F.lit(PRIOR[kind]) + F.when(speaks, BONUS).otherwise(0.0) - F.when(near.rlike(AGAINST), MALUS).otherwise(0.0)
         return F.struct(
             F.lit(kind).alias("kind"),
             x["start"].alias("start"),
@@ -179,7 +225,7 @@ def find(docs: DataFrame, text: str = "text", out: str = "pii") -> DataFrame:
     are taken one by one, without shuffle; a column named ``out`` is replaced.
     """
     column = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    return docs.withColumn(out, F.concat(*[_spans(kind, column) for kind in KINDS]))
+    return docs.withColumn(out, _let(_pieces(column), lambda pieces: F.concat(*[_spans(kind, column, pieces) for kind in KINDS])))
 
 
 def redact(docs: DataFrame) -> DataFrame:
@@ -193,18 +239,17 @@ def redact(docs: DataFrame) -> DataFrame:
     found = find(docs, out=mark)
     ordered = F.array_sort(F.transform(mark, lambda s: F.struct(s["start"], (-s["end"]).alias("far"), F.upper(s["kind"]).alias("kind"))))
     text = F.col("text")
-    done = F.aggregate(
-        ordered,
-        F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")),
-        lambda acc, s: F.when(
-            s["start"] >= acc["at"],
-            F.struct(
-                (-s["far"]).alias("at"),
-                F.concat(acc["out"], F.substr(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit("["), s["kind"], F.lit("]")).alias("out"),
-            ),
-        ).otherwise(F.struct(F.greatest(acc["at"], -s["far"]).alias("at"), acc["out"].alias("out"))),
-        lambda acc: F.concat(acc["out"], F.substr(text, (acc["at"] + 1).cast("int"))),
-    )
+
+    def replaced(pieces: Column) -> Column:
+        def step(at: Column, s: Column) -> tuple[Column, Column]:
+            free = s["start"] >= at
+            before = F.array(_part(pieces, at, s["start"]), F.concat(F.lit("["), s["kind"], F.lit("]")))
+            return F.greatest(at, -s["far"]), F.when(free, before).otherwise(F.array().cast("array<string>"))
+
+        rest = _part(pieces, F.array_max(F.transform(ordered, lambda s: -s["far"])), F.size(pieces).cast("long") * _PIECE)
+        return F.concat(F.array_join(_in_row(ordered, F.lit(0), step, "string"), ""), rest)
+
+    done = _let(_pieces(text), replaced)
     new = F.when(F.size(mark) > 0, done).otherwise(text)
     out = found.withColumn("text", new)
     if "n_chars" in docs.columns:
