@@ -475,6 +475,14 @@ SELECT (SELECT string_agg(source, ',' ORDER BY source) FROM (SELECT DISTINCT sou
     "length_describe": _articles(
         f"{_LENGTHS.format('words', 'word_count')} UNION ALL {_LENGTHS.format('chars', 'text_length')}"
     ),
+    "running_lengths": _articles(
+        f"{_LENGTHS.format('words', 'word_count')} UNION ALL {_LENGTHS.format('chars', 'text_length')}"
+    ),
+    "running_summary": _articles(
+        """
+SELECT count(*) AS total_articles, count(*) FILTER (is_fake) AS fake_news, count(*) FILTER (NOT is_fake) AS real_news,
+       count(DISTINCT source) AS num_sources, min(crawled_at) AS min_date, max(crawled_at) AS max_date FROM articles"""
+    ),
     "source_label_crosstab": _articles(
         """
 SELECT source, count(*) FILTER (is_fake = -1) AS unlabelled, count(*) FILTER (is_fake = 0) AS real,

@@ -21,6 +21,7 @@ from newscheck.operators import (
     neighbors,
     profile,
     reduce,
+    running,
     segment,
     sites,
     vectors,
@@ -404,6 +405,22 @@ def length_describe(spark, sf):
     return profile.length_describe(_articles(spark, sf), TEXT)
 
 
+def _running_state(spark, sf):
+    """The articles in three batches, each counted by itself."""
+    prepared = _prepared(_articles(spark, sf))
+    return running.add_states(*[running.batch_state(prepared.where(F.col("id") % 3 == k)) for k in range(3)])
+
+
+@query
+def running_summary(spark, sf):
+    return running.summary(_running_state(spark, sf)).drop("estimated_sources")
+
+
+@query
+def running_lengths(spark, sf):
+    return running.length_describe(_running_state(spark, sf))
+
+
 @query
 def source_label_crosstab(spark, sf):
     return profile.source_label_crosstab(_prepared(_articles(spark, sf)))
