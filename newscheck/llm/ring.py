@@ -14,7 +14,7 @@ from newscheck.session import materialize
 # Places of each shard on the ring.
 VIRTUAL_NODES = 64
 # Rows of an arc that are numbered together.
-RUN = 50_000
+RUN = 2_000
 _CELLS = 1 << 12  # equal parts of the ring, for finding a key's arc by an equality join
 
 
