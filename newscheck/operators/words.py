@@ -50,10 +50,17 @@ def _ranked(rows: DataFrame, key: str, order: list, top_n: int) -> DataFrame:
 
 
 def word_frequencies(
-    articles: DataFrame, text: str, by_label: bool = False, top_n: int = CLOUD_SIZE
+    articles: DataFrame,
+    text: str,
+    by_label: bool = False,
+    top_n: int = CLOUD_SIZE,
+    stopwords: DataFrame | None = None,
 ) -> DataFrame:
     """``label, word, n, weight``: what a word cloud draws.
 
+    Words in ``stopwords`` (column ``term``) are left out, whatever their case; the list is met by
+    the counted spellings, not by every word.
+
     Spellings that differ in case are counted together under the most frequent one.
     A plural in -s (not -ss) joins its singular if that occurs. The weight is
     relative to the most frequent word.
@@ -63,6 +70,10 @@ def word_frequencies(
     words = each_entry(rows, cloud_words(F.col(text)), "word", label.alias("label"))
     spellings = words.groupBy("label", "word").agg(F.count("*").alias("n"))
 
+    if stopwords is not None:
+        listed = stopwords.select(F.lower("term").alias("term")).distinct()
+        spellings = spellings.join(listed, F.lower("word") == F.col("term"), "left_anti")
+
     lower = F.lower("word")
     plural = lower.rlike("[^s]s$")
     stem = F.when(plural, F.expr("left(lower(word), length(word) - 1)")).otherwise(lower)

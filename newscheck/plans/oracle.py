@@ -172,7 +172,8 @@ QUALIFY rank <= 20""",
     )
 
 
-def _cloud(label: str, where: str) -> str:
+def _cloud(label: str, where: str, text: str = "content", *more: str) -> str:
+    left_out = " AND lower(regexp_replace(w, '''[sS]$', '')) NOT IN (SELECT lower(term) FROM stopwords)" if more else ""
     return _articles(
         rf"""
 SELECT label, word, n, CAST(rank AS INTEGER) AS rank,
@@ -184,14 +185,15 @@ FROM (
     FROM (SELECT label, key, word, sum(n) AS n FROM merged GROUP BY label, key, word)
     GROUP BY label, key)
   QUALIFY rank <= 200)""",
+        *more,
         rf"""
 found AS (
   SELECT {label} AS label,
-         unnest(regexp_extract_all(content, '[\p{{L}}\p{{N}}_][\p{{L}}\p{{N}}_'']*')) AS w
+         unnest(regexp_extract_all({text}, '[\p{{L}}\p{{N}}_][\p{{L}}\p{{N}}_'']*')) AS w
   FROM prepared WHERE {where}),
 spelled AS (
   SELECT label, regexp_replace(w, '''[sS]$', '') AS word, count(*) AS n FROM found
-  WHERE NOT regexp_full_match(regexp_replace(w, '''[sS]$', ''), '\p{{Nd}}+') GROUP BY ALL),
+  WHERE NOT regexp_full_match(regexp_replace(w, '''[sS]$', ''), '\p{{Nd}}+'){left_out} GROUP BY ALL),
 merged AS (
   SELECT s.label, coalesce(k.key, lower(s.word)) AS key,
          CASE WHEN k.key IS NULL THEN s.word ELSE left(s.word, length(s.word) - 1) END AS word, s.n
@@ -512,6 +514,7 @@ GROUP BY s.is_fake, g.point, s.low, s.high"""
     "concat_text_all": _joined("'all'", "true"),
     "word_frequencies": _cloud("'all'", "true"),
     "word_frequencies_by_label": _cloud("CAST(is_fake AS VARCHAR)", "is_fake <> -1"),
+    "word_frequencies_normalized": _cloud("'all'", "true", "normalized_content", _STOPWORDS),
     "top_unigrams": _top_grams(1, 1, 30),
     "top_bigrams": _top_grams(2, 2, 30),
     "top_one_to_three_grams": _top_grams(1, 3, 100),

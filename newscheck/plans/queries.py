@@ -459,6 +459,13 @@ def word_frequencies_by_label(spark, sf):
     return words.word_frequencies(_prepared(_articles(spark, sf)), "content", by_label=True)
 
 
+@query
+def word_frequencies_normalized(spark, sf):
+    """The cloud of the normalised texts, without stopwords."""
+    prepared = art.prepare_for_analysis(_articles(spark, sf), TEXT)
+    return words.word_frequencies(prepared, TEXT, stopwords=_stopwords(spark, sf))
+
+
 @query
 def top_unigrams(spark, sf):
     return words.top_ngrams(_articles(spark, sf), TEXT, (1, 1))
