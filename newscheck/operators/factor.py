@@ -172,12 +172,13 @@ class _Documents:
 
 
 def fit_table(
-    rows: DataFrame, n_docs: int, k: int, method: str, oversample: int, residual: float, seed: int, block_cells: int = BLOCK_CELLS
+    rows: DataFrame, n_docs: int, k: int, method: str, oversample: int, residual: float, gain: float, seed: int, block_cells: int = BLOCK_CELLS
 ) -> TableReducer:
     """As :func:`~newscheck.operators.reduce.fit_reducer`, with the basis as a table at every step.
 
     Ends when for the first ``k`` pairs the residual of the eigenvalue equation is at most
-    ``residual`` times the largest eigenvalue.
+    ``residual`` times the largest eigenvalue, or a pass adds at most the part ``gain`` to
+    the sum of their eigenvalues.
     """
     docs = _Documents(rows, block_cells)
     cells = docs.blocks.select(F.inline("vec")).groupBy("i").agg(F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("q"))
@@ -188,6 +189,7 @@ def fit_table(
     center = F.col("average") if method == "pca" else F.lit(0.0)
     mean = moments.select("i", F.array(center).alias("m"))
     q = materialize(moments.select("i").mapInArrow(_random(width, seed), _ROW), "basis")
+    held = 0.0
     while True:
         first = orthonormal(_small(q, "z", "z", (width, width)))
         basis = _turned(q, "z", first, "z")
@@ -214,7 +216,8 @@ def fit_table(
         squares = np.einsum("ij,ij->j", own, pp @ own) - 2 * values * np.einsum("ij,ij->j", own, zp @ own) + values**2 * np.einsum("ij,ij->j", own, zz @ own)
         most = max(values.max(initial=0.0), 0.0)
         done = math.sqrt(max(squares.max(initial=0.0), 0.0)) <= max(residual, 1e-7) * most or not most
-        if done:
+        before, held = held, values.sum()
+        if done or held - before <= gain * held:
             found = materialize(_turned(both_shifted, "z", own, "loadings"), "loadings")
             discard(both)
             break

@@ -30,8 +30,9 @@ HYBRID_DIMENSIONS = 256
 TSNE_DIMENSIONS, TSNE_ABOVE = 50, 50
 UMAP_DIMENSIONS, UMAP_ABOVE = 100, 1000
 # The iteration ends when the residual of the eigenvalue equation of all components is at
-# most so large a part of the largest eigenvalue.
-RESIDUAL = 1e-4
+# most so large a part of the largest eigenvalue or, if no residual is asked for, when a pass adds
+# less than so large a part to the variance that the components hold.
+RESIDUAL, GAIN = 1e-4, 1e-3
 # Features x components that are sent to a task (32 MB); a larger basis is a table.
 SENT_CELLS = 1 << 22
 
@@ -107,9 +108,11 @@ def _orient(components: np.ndarray) -> np.ndarray:
 
 
 def fit_reducer(
-    rows: DataFrame, n_docs: int, n_features: int, k: int, method: str = "svd", residual: float = RESIDUAL
+    rows: DataFrame, n_docs: int, n_features: int, k: int, method: str = "svd", residual: float | None = None
 ) -> Reducer | TableReducer:
-    """Fit on ``doc_id, vec``, one row per document, until the stated residual is reached.
+    """Fit on ``doc_id, vec``, one row per document.
+
+    Ends at :data:`RESIDUAL` or :data:`GAIN`, whichever is met first; with a ``residual``, at that alone.
 
     A basis above :data:`SENT_CELLS` numbers is kept as a table and neither sent nor
     brought to the driver.
@@ -118,7 +121,8 @@ def fit_reducer(
         raise ValueError(f"unknown method {method!r}: use 'svd' or 'pca'")
     width = min(k + OVERSAMPLE, n_features)
     if n_features * width > SENT_CELLS:
-        return fit_table(rows, n_docs, k, method, OVERSAMPLE, residual, SEED)
+        ends = (RESIDUAL, GAIN) if residual is None else (residual, -1.0)
+        return fit_table(rows, n_docs, k, method, OVERSAMPLE, *ends, SEED)
     context = rows.sparkSession.sparkContext
 
     def moments(batch: pa.RecordBatch) -> np.ndarray:
@@ -145,6 +149,8 @@ def fit_reducer(
         sent.unpersist()
         return product - n_docs * np.outer(mean, mean @ q)
 
+    gain, residual = (GAIN, RESIDUAL) if residual is None else (-1.0, residual)
+    held = 0.0
     q = np.linalg.qr(np.random.default_rng(SEED).standard_normal((n_features, width)))[0]
     while True:
         product = gram(q)
@@ -154,6 +160,9 @@ def fit_reducer(
         # rounding leaves about the part 1e-12 of the largest
         if np.linalg.norm(left, axis=0).max() <= max(residual, 1e-10) * max(values.max(), 0):
             break
+        before, held = held, values[order].sum()
+        if held - before <= gain * held:
+            break
         q = np.linalg.qr(product)[0]
     components = _orient((q @ turn[:, order]).T)
     squares = np.maximum(values[order], 0)
