@@ -135,6 +135,19 @@ def test_segmentation_by_row(spark, part_bytes):
     assert "Exchange" not in plain
 
 
+def test_large_lexicon_is_one_pass(spark, monkeypatch):
+    """Documents are written as often whatever the size of the lexicon."""
+    written, write = [], segment.materialize
+    monkeypatch.setattr(segment, "materialize", lambda df, name: written.append(name) or write(df, name))
+    monkeypatch.setattr(segment, "CHUNK_ROWS", 2)
+    lexicon = [f"a{i}_b{i}" for i in range(60)] + ["b1_a2"]
+    texts = [(i, f"a{i} b{i} a{i + 1} b{i}") for i in range(1, 9)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    found = segment.segment_words(docs, spark.createDataFrame([(x,) for x in lexicon], "term string"), 30)
+    assert sorted(map(tuple, found.collect())) == [(i, _greedy(t.split(), set(lexicon))) for i, t in texts]
+    assert len(written) <= 3
+
+
 def test_normalisation_with_lexicon(spark):
     """Clean, segment, drop stopwords, in that order."""
     rows = [(1, "Good, morning!  to all http://x.y"), (1, None), (None, "to-all good morning"), (2, "")]
