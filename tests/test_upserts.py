@@ -39,3 +39,18 @@ def test_changes_come_out_once(spark, tmp_path):
 
 def test_nothing_stored(spark, tmp_path):
     assert upserts.current_articles(spark, str(tmp_path / "none")).collect() == []
+
+
+def test_records_pass_the_state_as_they_are(spark, tmp_path):
+    """All fields in one column, many urls to a batch of the Python worker."""
+    source, target = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = "title string, url string, source string, summary string, content string, published_at timestamp_ntz, crawled_at timestamp_ntz, is_fake boolean, normalized_content string, sequence long"
+    late = dt.datetime(2025, 1, 2, 3, 4, 5, 678901)
+    rows = [("T\x01\n\"{}", "u1", "s", "[a, b]", "null", late, None, False, "ệ", 2**62), ("x", "u2", None, None, None, None, late, None, None, -1)]
+    spark.createDataFrame(rows, schema).write.parquet(source)
+    stream = spark.readStream.schema(schema).parquet(source)
+    plan = upserts.changes(stream)._jdf.queryExecution().logical().toString()
+    assert "FlatMapGroupsInPandasWithState" in plan and "record" in plan
+    upserts.upsert_articles(stream, target, str(tmp_path / "state"))
+    found = upserts.read_changes(spark, target).drop("run", "batch", "change").select(*[f.split()[0] for f in schema.split(", ")])
+    assert {tuple(r) for r in found.collect()} == set(rows)
