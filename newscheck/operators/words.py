@@ -2,30 +2,69 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from newscheck.functions.text import cloud_words, lower_words, ngrams
 from newscheck.operators.terms import each_entry
+from newscheck.session import materialize
 
 # Words shown in a cloud, n-grams shown in a chart.
 CLOUD_SIZE = 200
 TOP_NGRAMS = 30
 TOP_NGRAMS_PER_LABEL = 15
-
-
-def _ngram_rows(articles: DataFrame, text: str, low: int, high: int, *keys: str) -> DataFrame:
-    words = articles.select(*keys, lower_words(F.col(text)).alias("words"))
-    return each_entry(words, ngrams(F.col("words"), low, high), "ngram", *keys)
+# Frequent words that are listed in an expression; with more, all n-grams are counted.
+LISTED = 5000
+
+
+def _ngram_rows(articles: DataFrame, text: str, low: int, high: int, *keys: str, only: Collection[str] | None = None) -> DataFrame:
+    """One row per n-gram; with ``only``, of those that have none but these words."""
+    words = lower_words(F.col(text))
+    if only is not None:
+        listed = sorted(only)
+        # an n-gram with a missing word is missing
+        words = F.transform(words, lambda w: F.when(w.isin(listed), w))
+    return each_entry(articles.select(*keys, words.alias("words")), ngrams(F.col("words"), low, high), "ngram", *keys)
+
+
+def _frequent(counts: DataFrame, top_n: int) -> list[str] | None:
+    """Words counted, for some label, at least as often as the ``top_n``-th of every label; None if they are too many or too few."""
+    keys = [c for c in counts.columns if c not in ("ngram", "n")]
+    if keys:
+        top = _ranked(counts, keys[0], [F.desc("n")], top_n)
+    else:
+        top = counts.orderBy(F.desc("n")).limit(top_n)
+    bounds = top.groupBy(*keys).agg(F.min("n").alias("least"), F.count("*").alias("found")).collect()  # one row per label
+    if not bounds or min(r["found"] for r in bounds) < top_n:
+        return None
+    often = counts.where(F.col("n") >= min(r["least"] for r in bounds))
+    listed = often.select("ngram").distinct().limit(LISTED + 1).collect()
+    return [r[0] for r in listed] if len(listed) <= LISTED else None
+
+
+def _counted(articles: DataFrame, text: str, ngram_range: tuple[int, int], top_n: int, *keys: str) -> DataFrame:
+    """``*keys, ngram, n`` of all n-grams that can be among the ``top_n`` of their key.
+
+    An n-gram does not occur more often than any of its words. So if words are asked for too, one
+    that occurs less often than the ``top_n``-th word is in no longer n-gram that is sought.
+    """
+    count = lambda rows: rows.groupBy(*keys, "ngram").agg(F.count("*").alias("n"))
+    if ngram_range[0] > 1 or ngram_range[1] == 1:
+        return count(_ngram_rows(articles, text, *ngram_range, *keys))
+    singles = materialize(count(_ngram_rows(articles, text, 1, 1, *keys)), "words")
+    only = _frequent(singles, top_n)
+    longer = _ngram_rows(articles, text, 2, ngram_range[1], *keys, only=only)
+    return singles.unionByName(count(longer))
 
 
 def top_ngrams(
     articles: DataFrame, text: str, ngram_range: tuple[int, int] = (1, 1), top_n: int = TOP_NGRAMS
 ) -> DataFrame:
     """The most frequent n-grams; equal counts in alphabetical order."""
-    counts = _ngram_rows(articles, text, *ngram_range).groupBy("ngram").agg(F.count("*").alias("n"))
-    return counts.orderBy(F.desc("n"), "ngram").limit(top_n)
+    return _counted(articles, text, ngram_range, top_n).orderBy(F.desc("n"), "ngram").limit(top_n)
 
 
 def top_ngrams_by_label(
@@ -35,11 +74,7 @@ def top_ngrams_by_label(
     top_n: int = TOP_NGRAMS_PER_LABEL,
 ) -> DataFrame:
     """The most frequent n-grams of every label, with their rank."""
-    counts = (
-        _ngram_rows(prepared, text, *ngram_range, "is_fake")
-        .groupBy("is_fake", "ngram")
-        .agg(F.count("*").alias("n"))
-    )
+    counts = _counted(prepared, text, ngram_range, top_n, "is_fake")
     return _ranked(counts, "is_fake", [F.desc("n"), F.asc("ngram")], top_n)
 
 
