@@ -60,9 +60,19 @@ def _tokens(docs: DataFrame, config: BM25Config) -> DataFrame:
     return docs.select("doc_id", words.alias("terms"))
 
 
-def batch_counts(docs: DataFrame, vocab: DataFrame, config: BM25Config) -> DataFrame:
-    """``doc_id, term_id, tf, dl`` of ``docs`` (``doc_id, text``) over a vocabulary."""
-    return term_counts(_tokens(docs, config), vocab, config.max_features)
+def _volume(docs: DataFrame) -> tuple[int, int]:
+    """Number of documents, and about how many words they have."""
+    n, chars = docs.agg(F.count("*"), F.sum(F.char_length("text"))).first()
+    return n, (chars or 0) // 5
+
+
+def batch_counts(docs: DataFrame, vocab: DataFrame, config: BM25Config, words: int | None = None) -> DataFrame:
+    """``doc_id, term_id, tf, dl`` of ``docs`` (``doc_id, text``) over a vocabulary.
+
+    ``words`` is about how many the documents have; if it is not given, texts are measured.
+    """
+    words = _volume(docs)[1] if words is None else words
+    return term_counts(_tokens(docs, config), vocab, config.max_features, rows=words)
 
 
 def _length(vocab: DataFrame) -> int:
@@ -80,8 +90,9 @@ def fit(corpus: DataFrame, config: BM25Config = BM25Config()) -> BM25Index:
         ),
         "vocab",
     )
-    counts = batch_counts(corpus, vocab, config)
-    return BM25Index(config, corpus, vocab, counts, n_docs, _length(vocab))
+    length = _length(vocab)
+    counts = batch_counts(corpus, vocab, config, length)
+    return BM25Index(config, corpus, vocab, counts, n_docs, length)
 
 
 def inverse_frequency(n_docs: int | Column, df: Column) -> Column:
@@ -180,10 +191,10 @@ def self_topk(index: BM25Index, k: int = 10) -> DataFrame:
     return _hits(topk_bounded(side("tf"), side("weight"), k, index.n_docs, index.n_docs))
 
 
-def _shifted(index: BM25Index, docs: DataFrame, sign: int, n: int) -> tuple[DataFrame, int, int]:
+def _shifted(index: BM25Index, docs: DataFrame, sign: int, n: int, words: int) -> tuple[DataFrame, int, int]:
     """Vocabulary statistics after adding (+1) or removing (-1) ``docs``."""
     delta = (
-        batch_counts(docs, index.vocab, index.config)
+        batch_counts(docs, index.vocab, index.config, words)
         .groupBy("term_id")
         .agg(F.count("*").alias("d_df"), F.sum("tf").alias("d_cf"))
     )
@@ -207,8 +218,9 @@ def add_documents(index: BM25Index, docs: DataFrame, rebuild_vocab: bool = False
     corpus = index.corpus.unionByName(docs)
     if rebuild_vocab:
         return fit(corpus, index.config)
-    vocab, n_docs, length = _shifted(index, docs, 1, docs.count())
-    new = batch_counts(docs, vocab, index.config)
+    n, words = _volume(docs)
+    vocab, n_docs, length = _shifted(index, docs, 1, n, words)
+    new = batch_counts(docs, vocab, index.config, words)
     return replace(
         index,
         corpus=corpus,
@@ -223,7 +235,7 @@ def remove_documents(index: BM25Index, ids: DataFrame) -> BM25Index:
     """Take out the documents whose ``doc_id`` is in ``ids``; the vocabulary stays."""
     ids = ids.select("doc_id").distinct()
     gone = index.corpus.join(ids, "doc_id", "left_semi")
-    vocab, n_docs, length = _shifted(index, gone, -1, gone.count())
+    vocab, n_docs, length = _shifted(index, gone, -1, *_volume(gone))
     return replace(
         index,
         corpus=index.corpus.join(ids, "doc_id", "left_anti"),

@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from newscheck.functions.labels import label_name
-from newscheck.functions.text import lower_words, ngrams, word_count
+from newscheck.functions.text import lower_words, ngrams, only_words, word_count
 from newscheck.operators import bm25
 from newscheck.operators.terms import choose_vocabulary, small_enough, term_counts, term_stats
 from newscheck.session import materialize
@@ -28,6 +28,8 @@ HANDLER_FEATURES = 5000
 K1 = 1.5
 B = 0.75
 TOP_TERMS = 20
+# Frequent words that are listed in an expression; with more, all terms are counted.
+LISTED = 8000
 
 
 @dataclass(frozen=True)
@@ -50,14 +52,36 @@ def auto_max_features(articles: DataFrame, text: str) -> DataFrame:
     return articles.agg(F.least(F.lit(BM25_FEATURES_AT_MOST), scaled).cast("int").alias("max_features"))
 
 
+def _enough(stats: DataFrame, n_docs: int, max_features: int | None) -> list[str] | None:
+    """Words as frequent as the last of ``max_features`` valid ones, or more; None if they are too many or too few.
+
+    No other word is in a term of the vocabulary, as a term does not occur more often than any of its words.
+    """
+    if not max_features or max_features > LISTED:
+        return None
+    kept = choose_vocabulary(stats, n_docs, MIN_DF, MAX_DF, max_features)
+    found, least = kept.agg(F.count("*"), F.min("cf")).first()
+    if found < max_features:
+        return None
+    listed = stats.where(F.col("cf") >= least).select("term").limit(LISTED + 1).collect()
+    return [r[0] for r in listed] if len(listed) <= LISTED else None
+
+
 def _counted(docs: DataFrame, max_features: int | None) -> tuple[DataFrame, DataFrame, int]:
-    words = docs.select("doc_id", lower_words(F.col("text")).alias("words"))
-    grams = words.select("doc_id", ngrams(F.col("words"), *NGRAM_RANGE).alias("terms"))
-    n_docs = docs.count()
+    words = materialize(docs.select("doc_id", lower_words(F.col("text")).alias("words")), "tokens")
+    n_docs = words.count()
+    low, high = NGRAM_RANGE
+    singles = materialize(term_stats(words, "words"), "word-stats")
+    longer = words.select("doc_id", ngrams(only_words("words", _enough(singles, n_docs, max_features)), low + 1, high).alias("terms"))
     vocab = materialize(
-        choose_vocabulary(term_stats(grams), n_docs, MIN_DF, MAX_DF, max_features), "vocab"
+        choose_vocabulary(singles.unionByName(term_stats(longer)), n_docs, MIN_DF, MAX_DF, max_features), "vocab"
     )
-    counts = term_counts(grams, vocab, max_features)
+    used = None
+    if max_features and max_features <= LISTED:
+        used = [r[0] for r in vocab.select(F.explode(F.split("term", " "))).distinct().collect()]
+    grams = words.select("doc_id", ngrams(only_words("words", used), low, high).alias("terms"))
+    occurrences = vocab.agg(F.sum("cf")).first()[0] or 0
+    counts = term_counts(grams, vocab, max_features, rows=occurrences)
     known = small_enough(vocab.select("term_id", "term", "df"), max_features)
     return counts.join(known, "term_id"), vocab, n_docs
 

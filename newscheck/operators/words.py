@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from newscheck.functions.text import cloud_words, lower_words, ngrams
+from newscheck.functions.text import cloud_words, lower_words, ngrams, only_words
 from newscheck.operators.terms import each_entry
 from newscheck.session import materialize
 
@@ -22,12 +22,9 @@ LISTED = 5000
 
 def _ngram_rows(articles: DataFrame, text: str, low: int, high: int, *keys: str, only: Collection[str] | None = None) -> DataFrame:
     """One row per n-gram; with ``only``, of those that have none but these words."""
-    words = lower_words(F.col(text))
-    if only is not None:
-        listed = sorted(only)
-        # an n-gram with a missing word is missing
-        words = F.transform(words, lambda w: F.when(w.isin(listed), w))
-    return each_entry(articles.select(*keys, words.alias("words")), ngrams(F.col("words"), low, high), "ngram", *keys)
+    words = articles.select(*keys, lower_words(F.col(text)).alias("words"))
+    words = words.select(*keys, only_words("words", only).alias("words"))
+    return each_entry(words, ngrams(F.col("words"), low, high), "ngram", *keys)
 
 
 def _frequent(counts: DataFrame, top_n: int) -> list[str] | None:
