@@ -35,6 +35,9 @@ UMAP_DIMENSIONS, UMAP_ABOVE = 100, 1000
 RESIDUAL, GAIN = 1e-4, 1e-3
 # Features x components that are sent to a task (32 MB); a larger basis is a table.
 SENT_CELLS = 1 << 22
+# Terms that so large a part of the documents has, and at most so many of them, are multiplied
+# as a dense block; it is faster than by cells from about a twenty-fifth on.
+DENSE_PART, DENSE_TERMS = 1 / 32, 512
 
 
 @dataclass(frozen=True)
@@ -128,10 +131,14 @@ def fit_reducer(
     def moments(batch: pa.RecordBatch) -> np.ndarray:
         _, idx, val, _ = _flat(batch)
         return np.stack(
-            [np.bincount(idx, val, n_features), np.bincount(idx, val**2, n_features)], axis=1
+            [np.bincount(idx, v, n_features) for v in (val, val**2, np.ones(len(val)))], axis=1
         )
 
-    first, second = _tree_sum(rows, (n_features, 2), moments).T / n_docs
+    first, second, part = _tree_sum(rows, (n_features, 3), moments).T / n_docs
+    often = np.argsort(-part, kind="stable")[:DENSE_TERMS]
+    often = often[part[often] >= DENSE_PART]
+    place = np.full(n_features, -1)
+    place[often] = np.arange(len(often))
     mean = first if method == "pca" else np.zeros(n_features)
     total_variance = (second - first**2).sum()
 
@@ -141,9 +148,16 @@ def fit_reducer(
 
         def block(batch: pa.RecordBatch) -> np.ndarray:
             row, idx, val, n = _flat(batch)
-            y = _product(row, idx, val, sent.value, n)
+            at = place[idx]
+            held = at >= 0
+            dense = np.zeros((n, len(often)))
+            np.add.at(dense, (row[held], at[held]), val[held])
+            row, idx, val = row[~held], idx[~held], val[~held]
+            y = _product(row, idx, val, sent.value, n) + dense @ sent.value[often]
             by_term = np.argsort(idx, kind="stable")
-            return _product(idx[by_term], row[by_term], val[by_term], y, n_features)
+            out = _product(idx[by_term], row[by_term], val[by_term], y, n_features)
+            out[often] += dense.T @ y
+            return out
 
         product = _tree_sum(rows, q.shape, block)
         sent.unpersist()

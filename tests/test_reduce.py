@@ -95,3 +95,17 @@ def test_residual_is_reached(spark):
     gram = dense.T @ dense
     for v, s in zip(fitted.components, fitted.singular_values):
         assert np.linalg.norm(gram @ v - s**2 * v) <= 1e-8 * fitted.singular_values[0] ** 2 * 1.01
+
+
+@pytest.mark.parametrize("method", ["svd", "pca"])
+def test_frequent_terms_as_a_dense_block(spark, monkeypatch, method):
+    """Terms multiplied by cells, in part and all as a block give one reducer."""
+    rows, fitted = _frame(spark, _dense()), []
+    for most, least in ((0, 1.0), (4, 0.1), (512, 0.0)):
+        monkeypatch.setattr(reduce, "DENSE_TERMS", most)
+        monkeypatch.setattr(reduce, "DENSE_PART", least)
+        fitted.append(reduce.fit_reducer(rows, 60, 25, 4, method, residual=1e-8))
+    for one in fitted[1:]:
+        np.testing.assert_allclose(one.singular_values, fitted[0].singular_values, rtol=1e-8)
+        np.testing.assert_allclose(one.components, fitted[0].components, atol=1e-6)
+    np.testing.assert_allclose(fitted[0].singular_values, np.linalg.svd(_dense() - (_dense().mean(0) if method == "pca" else 0))[1][:4], rtol=1e-8)
