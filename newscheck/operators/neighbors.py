@@ -51,17 +51,21 @@ def knn_graph(
     )
 
 
-def _direction(vector: str) -> Column:
-    """Components as :func:`_unit` has them, without their places."""
-    return F.transform(_unit(vector), lambda c: c["v"])
-
-
-def _matrix(vectors: pa.Array, width: int) -> np.ndarray:
-    """Vectors as rows; shorter ones are filled up with zeros."""
-    sizes = np.diff(vectors.offsets.to_numpy())
+def _with_length(vector: str, kind: str) -> Column:
+    """Components as they are stored, null and NaN ones as 0, and the length: with floats half of what :func:`_unit` takes."""
+    zero = F.lit(0.0).cast(kind)
+    values = F.transform(F.coalesce(vector, F.array().cast(f"array<{kind}>")), lambda v: F.nanvl(F.coalesce(v.cast(kind), zero), zero))
+    length = F.sqrt(F.aggregate(values, F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double")))
+    return F.struct(values.alias("x"), length.alias("length"))
+
+
+def _matrix(vectors: pa.StructArray, width: int) -> np.ndarray:
+    """Unit vectors as rows; shorter ones are filled up with zeros, and so are those of length 0."""
+    x, length = vectors.field("x"), vectors.field("length").to_numpy()[:, None]
+    sizes = np.diff(x.offsets.to_numpy())
     out = np.zeros((len(sizes), width))
-    out[np.repeat(np.arange(len(sizes)), sizes), np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = vectors.flatten().to_numpy()
-    return out
+    out[np.repeat(np.arange(len(sizes)), sizes), np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = x.flatten().to_numpy()
+    return np.divide(out, length, out=np.zeros_like(out), where=length != 0)
 
 
 def _codes(width: int, bits: int, starts: int):
@@ -182,14 +186,17 @@ def knn_descent(
     new. Cosines are exact, neighbours approximate. Ids are unique.
     """
     keep = pool * k
-    unit = materialize(points.select(F.col(id_column).cast("long").alias("id"), _direction(vector).alias("v")), "unit")
-    n, width = unit.agg(F.count("*"), F.max(F.size("v"))).first()
+    kind = "float" if dict(points.dtypes)[vector] == "array<float>" else "double"
+    unit = materialize(points.select(F.col(id_column).cast("long").alias("id"), _with_length(vector, kind).alias("v")), "unit")
+    n, width = unit.agg(F.count("*"), F.max(F.size("v.x"))).first()
     edges = _started(unit, n, width or 1, keep)
     while edges.where("fresh").count() > few * keep * n:
         further = materialize(_round(edges, unit, width, keep), "edges")
         discard(edges)
         edges = further
-    own = unit.select(F.col("id").alias("u"), F.col("id").alias("w"), F.aggregate("v", F.lit(0.0), lambda s, v: s + v * v).alias("s"))
+    part = lambda v: F.coalesce(v.cast("double") / F.nullif(F.col("v.length"), F.lit(0.0)), F.lit(0.0))
+    square = F.aggregate("v.x", F.lit(0.0), lambda s, v: s + part(v) * part(v))
+    own = unit.select(F.col("id").alias("u"), F.col("id").alias("w"), square.alias("s"))
     order = W.partitionBy("u").orderBy(F.desc("cosine"), "w")
     every = edges.select("u", "w", "s").union(own).withColumn("cosine", F.round("s", 6))
     best = every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -44,3 +44,16 @@ def test_descent_of_many_equal_points(spark, monkeypatch):
     found = _graph(neighbors.knn_descent(_frame(spark, vectors), "vec_id", "embedding", 5))
     assert len(found) == 600 * 5
     assert all(c == pytest.approx(1.0) for (i, _), (_, c) in found.items() if i < 400)
+
+
+def test_descent_keeps_stored_floats(spark, monkeypatch):
+    """Vectors of floats travel as such; cosines are those of their doubles."""
+    pick, seen = np.random.default_rng(6), []
+    kept = neighbors.materialize
+    monkeypatch.setattr(neighbors, "materialize", lambda df, name: seen.append((name, dict(df.dtypes).get("v"))) or kept(df, name))
+    vectors = [None, [0.0] * 8, [float("nan")] + [1.0] * 7, *pick.standard_normal((60, 8))]
+    points = _frame(spark, vectors)
+    floats = points.selectExpr("vec_id", "cast(embedding as array<float>) as embedding")
+    found = _graph(neighbors.knn_descent(floats, "vec_id", "embedding", 5))
+    assert ("unit", "struct<x:array<float>,length:double>") in seen
+    assert found == _graph(neighbors.knn_graph(floats, "vec_id", "embedding", 5))
