@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newscheck.operators.bm25 import BM25Config, BM25Index, batch_counts
+from newscheck.operators.terms import tasks_for
 from newscheck.session import delete_path
 
 _CONFIG = (
@@ -36,6 +37,8 @@ _SCHEMAS = {
 }
 # The batch that an index is saved as.
 FIRST = "0"
+# Up to so many removed documents are sent to the tasks (some MB).
+SENT_IDS = 200_000
 
 
 def _put(df: DataFrame, path: str, table: str, batch: str | int) -> DataFrame:
@@ -56,13 +59,32 @@ def _read(spark: SparkSession, path: str, table: str) -> DataFrame:
 
 def _complete(spark: SparkSession, path: str, table: str) -> DataFrame:
     """The rows of all complete batches."""
-    return _read(spark, path, table).join(known_batches(spark, path), "batch", "left_semi")
+    # one row per batch; not sent, all rows of a batch would meet in one task
+    return _read(spark, path, table).join(F.broadcast(known_batches(spark, path)), "batch", "left_semi")
+
+
+def _gone(spark: SparkSession, path: str) -> DataFrame:
+    return _complete(spark, path, "removed").select("doc_id", F.col("from_batch").alias("batch"))
 
 
 def _live(spark: SparkSession, path: str, table: str) -> DataFrame:
     """Rows of the documents that were not removed since."""
-    gone = _complete(spark, path, "removed").select("doc_id", F.col("from_batch").alias("batch"))
-    return _complete(spark, path, table).join(gone, ["doc_id", "batch"], "left_anti")
+    return _complete(spark, path, table).join(_gone(spark, path), ["doc_id", "batch"], "left_anti")
+
+
+def _counts(spark: SparkSession, path: str, gone: DataFrame, n_gone: int, how: str) -> DataFrame:
+    """Counts of all complete batches joined with the ``n_gone`` removed documents (``doc_id, batch``).
+
+    If those are too many to be sent, counts are dealt by document into tasks of a bounded number of rows.
+    """
+    counts, keys = _complete(spark, path, "counts"), ["doc_id", "batch"]
+    if n_gone <= SENT_IDS:
+        return counts.join(F.broadcast(gone), keys, how)
+    rows = _complete(spark, path, "shifts").where("df > 0").agg(F.sum("df")).first()[0] or 0
+    # counts follow the removed documents; with fewer tasks than Spark's own number, or counts dealt out
+    # before the join, Spark would deal both anew for it and make the tasks as few as their compressed size allows
+    parts = max(tasks_for(spark, rows), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return counts.join(gone.repartition(parts, *keys), keys, how)
 
 
 def save_index(index: BM25Index, path: str) -> None:
@@ -105,9 +127,8 @@ def remove_batch(path: str, ids: DataFrame, batch: str | int) -> None:
     delete_path(spark, f"{path}/sizes/batch={batch}")
     found = _live(spark, path, "corpus").join(ids.select("doc_id"), "doc_id", "left_semi")
     gone = _put(found.select("doc_id", F.col("batch").alias("from_batch")), path, "removed", batch)
-    lost = _complete(spark, path, "counts").join(
-        gone.withColumnRenamed("from_batch", "batch"), ["doc_id", "batch"], "left_semi"
-    )
+    named = gone.withColumnRenamed("from_batch", "batch")
+    lost = _counts(spark, path, named, gone.count(), "left_semi")
     shifts = lost.groupBy("term_id").agg((-F.count("*")).alias("df"), (-F.sum("tf")).alias("cf"))
     _put(shifts, path, "shifts", batch)
     _put(gone.agg((-F.count("*")).alias("n")), path, "sizes", batch)
@@ -129,12 +150,15 @@ def load_index(spark: SparkSession, path: str) -> BM25Index:
         F.coalesce("df", F.lit(0)).alias("df"),
         F.coalesce("cf", F.lit(0)).alias("cf"),
     )
+    sizes = known_batches(spark, path)
+    n_docs, n_gone = sizes.agg(F.sum("n"), F.sum(F.greatest(-F.col("n"), F.lit(0)))).first()
+    counts = _counts(spark, path, _gone(spark, path), n_gone or 0, "left_anti")
     return BM25Index(
         config=_read_config(spark, path),
         corpus=_live(spark, path, "corpus").select("doc_id", "text"),
         vocab=vocab,
-        counts=_live(spark, path, "counts").select("doc_id", "term_id", "tf", "dl"),
-        n_docs=known_batches(spark, path).agg(F.sum("n")).first()[0],
+        counts=counts.select("doc_id", "term_id", "tf", "dl"),
+        n_docs=n_docs,
         total_length=vocab.agg(F.sum("cf")).first()[0] or 0,
     )
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from newscheck.functions.text import only_words
 from newscheck.operators import bm25, terms, vectors
+from newscheck.sources import index_store
 
 
 def _docs(spark):
@@ -48,3 +49,32 @@ def test_listed_words(spark):
     assert row.select(only_words("words", ["a'b", "c\\d"])).first()[0] == ["a'b", "c\\d", None, None]
     assert row.select(only_words("words", [])).first()[0] == [None] * 4
     assert row.select(only_words("words", None)).first()[0] == ["a'b", "c\\d", "e", None]
+
+
+@pytest.mark.parametrize("sent", [0, 1000])
+def test_stored_counts_by_volume(spark, monkeypatch, tmp_path, sent):
+    """Removed documents that are too many to be sent: the counts meet them in tasks of bounded size."""
+    monkeypatch.setattr(index_store, "SENT_IDS", sent, raising=False)
+    docs, gone = _docs(spark), spark.range(0, 150, 2).toDF("doc_id")
+    whole = bm25.fit(docs)
+    index_store.save_index(whole, str(tmp_path / "index"))
+    index_store.remove_batch(str(tmp_path / "index"), gone, "some")
+    monkeypatch.setattr(terms, "TASK_ROWS", 100)
+    index_store.remove_batch(str(tmp_path / "index"), gone.where("doc_id < 50"), "again")
+    left = index_store.load_index(spark, str(tmp_path / "index"))
+    expected = bm25.remove_documents(whole, gone)
+    assert left.n_docs == expected.n_docs == 127
+    assert left.total_length == expected.total_length
+    assert sorted(map(tuple, left.counts.collect())) == sorted(map(tuple, expected.counts.collect()))
+    if not sent:
+        held, before = [], {n: spark.conf.get(n) for n in ("spark.sql.shuffle.partitions", "spark.sql.autoBroadcastJoinThreshold")}
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        try:
+            for n in ("8", "200"):
+                spark.conf.set("spark.sql.shuffle.partitions", n)
+                counts = index_store.load_index(spark, str(tmp_path / "index")).counts
+                held.append(counts.select(F.spark_partition_id().alias("p")).distinct().count())
+        finally:
+            for n, value in before.items():
+                spark.conf.set(n, value)
+        assert min(held) > 2 * spark.sparkContext.defaultParallelism
