@@ -19,6 +19,7 @@ from newscheck.functions.text import whitespace_words, without_words
 from newscheck.operators.terms import (
     choose_vocabulary,
     small_enough,
+    tasks_for,
     term_counts,
     term_stats,
     to_vectors,
@@ -231,16 +232,26 @@ def add_documents(index: BM25Index, docs: DataFrame, rebuild_vocab: bool = False
     )
 
 
+def _dealt(index: BM25Index, ids: DataFrame) -> DataFrame:
+    """The distinct ``doc_id``s, dealt as the counts of ``index`` are.
+
+    Dealt by Spark's own number they would, if they are not broadcast, have the counts follow them
+    into tasks as few as their compressed size allows.
+    """
+    tasks = tasks_for(ids.sparkSession, index.total_length)
+    return ids.select("doc_id").repartition(tasks, "doc_id").distinct()
+
+
 def remove_documents(index: BM25Index, ids: DataFrame) -> BM25Index:
     """Take out the documents whose ``doc_id`` is in ``ids``; the vocabulary stays."""
-    ids = ids.select("doc_id").distinct()
+    dealt, ids = _dealt(index, ids), ids.select("doc_id").distinct()
     gone = index.corpus.join(ids, "doc_id", "left_semi")
     vocab, n_docs, length = _shifted(index, gone, -1, *_volume(gone))
     return replace(
         index,
         corpus=index.corpus.join(ids, "doc_id", "left_anti"),
         vocab=vocab,
-        counts=index.counts.join(ids, "doc_id", "left_anti"),
+        counts=index.counts.join(dealt, "doc_id", "left_anti"),
         n_docs=n_docs,
         total_length=length,
     )
@@ -256,7 +267,7 @@ def embeddings(index: BM25Index, ids: DataFrame | None = None) -> DataFrame:
     cells = postings(index)
     if ids is None:
         return cells
-    return cells.join(ids.select("doc_id").distinct(), "doc_id", "left_semi")
+    return cells.join(_dealt(index, ids), "doc_id", "left_semi")
 
 
 def matrix_stats(cells: DataFrame, n_docs: int, n_features: int) -> DataFrame:

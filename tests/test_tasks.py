@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from newscheck.functions.text import only_words
-from newscheck.operators import bm25, terms, vectors
+from newscheck.operators import bm25, reduce, terms, vectors
 from newscheck.sources import index_store
 
 
@@ -78,3 +78,29 @@ def test_stored_counts_by_volume(spark, monkeypatch, tmp_path, sent):
             for n, value in before.items():
                 spark.conf.set(n, value)
         assert min(held) > 2 * spark.sparkContext.defaultParallelism
+
+
+# What a query does with its counts, up to the step that holds most of them.
+STEPS = {
+    "index_lookup_embeddings": lambda docs: bm25.embeddings(bm25.fit(docs), docs.where("doc_id % 9 > 0")),
+    "index_remove_documents": lambda docs: bm25.postings(bm25.remove_documents(bm25.fit(docs), docs.where("doc_id % 9 = 0"))),
+}
+
+
+@pytest.mark.parametrize("query", STEPS)
+def test_steps_after_counting_by_volume(spark, monkeypatch, query):
+    """Joins with ids, labels or documents leave the counts in the tasks they were dealt to, also without broadcasts."""
+    monkeypatch.setattr(terms, "TASK_ROWS", 200, raising=False)
+    settings = {"spark.sql.shuffle.partitions": "200", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {n: spark.conf.get(n) for n in settings}
+    for n, value in settings.items():
+        spark.conf.set(n, value)
+    try:
+        table = STEPS[query](_docs(spark).coalesce(8))
+        size = F.sum(F.size("vec")) if "vec" in table.columns else F.count("*")
+        held = table.groupBy(F.spark_partition_id()).agg(size.alias("n")).agg(F.max("n"), F.sum("n")).first()
+    finally:
+        for n, value in before.items():
+            spark.conf.set(n, value)
+    assert held[1] > 2000
+    assert held[0] < 500
