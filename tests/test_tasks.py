@@ -86,6 +86,7 @@ STEPS = {
     "index_remove_documents": lambda docs: bm25.postings(bm25.remove_documents(bm25.fit(docs), docs.where("doc_id % 9 = 0"))),
     "index_add_documents": lambda docs: bm25.postings(bm25.add_documents(bm25.fit(docs.where("doc_id < 100")), docs.where("doc_id >= 100"))),
     "index_add_rebuild": lambda docs: bm25.postings(bm25.add_documents(bm25.fit(docs.where("doc_id < 100")), docs.where("doc_id >= 100"), True)),
+    "top_weighted_terms_bm25": lambda docs: vectors.vectorize(docs, "bm25", 5000).cells.join(docs.select("doc_id", "text"), "doc_id"),
 }
 
 
