@@ -87,6 +87,7 @@ STEPS = {
     "index_add_documents": lambda docs: bm25.postings(bm25.add_documents(bm25.fit(docs.where("doc_id < 100")), docs.where("doc_id >= 100"))),
     "index_add_rebuild": lambda docs: bm25.postings(bm25.add_documents(bm25.fit(docs.where("doc_id < 100")), docs.where("doc_id >= 100"), True)),
     "top_weighted_terms_bm25": lambda docs: vectors.vectorize(docs, "bm25", 5000).cells.join(docs.select("doc_id", "text"), "doc_id"),
+    "embedding_points, embedding_points_by_source, pca_reduce": lambda docs: reduce.with_empty(terms.to_vectors(vectors.tfidf(docs, 50).cells, "weight"), docs),
 }
 
 
