@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from newscheck.operators.topk import topk_dot
+from newscheck.operators.topk import _best
 from newscheck.session import discard, materialize
 
 # Fixed value: neighbours of the graph, a point itself being the first.
@@ -20,39 +20,16 @@ NEIGHBOURS = 15
 # compared with each other in a start, and the share of changed edges at which it ends.
 POOL, STARTS, BUCKET, FEW = 2, 4, 512, 0.001
 SEED = 42
+# Exact graph: components of a block of points, at most (a task holds a block of each side as stored, 8 bytes
+# a component at most); points of one side, and of the other, that are scored at a time; decimals of a cosine.
+BLOCK_CELLS = 8_000_000
+STEP, SLICE = 256, 16_384
+DIGITS = 6
 _EDGES = "u long, w long, s double"
 
 
-def _unit(vector: str) -> Column:
-    """Components over the length; null and NaN ones are 0, and so is all of a zero or null vector."""
-    values = F.transform(
-        F.coalesce(vector, F.array().cast("array<double>")),
-        lambda v: F.nanvl(F.coalesce(v.cast("double"), F.lit(0.0)), F.lit(0.0)),
-    )
-    length = F.sqrt(F.aggregate(values, F.lit(0.0), lambda s, v: s + v * v))
-    return F.transform(
-        values,
-        lambda v, i: F.struct(i.alias("i"), F.coalesce(v / F.nullif(length, F.lit(0.0)), F.lit(0.0)).alias("v")),
-    )
-
-
-def knn_graph(
-    points: DataFrame, id_column: str, vector: str, k: int = NEIGHBOURS, n_points: int | None = None
-) -> DataFrame:
-    """``vec_id, neighbour_id, rank, cosine``: exact k nearest points of every point."""
-    n_points = points.count() if n_points is None else n_points
-    unit = points.select(F.col(id_column).alias("id"), _unit(vector).alias("vec"))
-    found = topk_dot(unit, unit, k, n_points, n_points, positive_only=False)
-    return found.select(
-        F.col("left_id").alias("vec_id"),
-        F.col("right_id").alias("neighbour_id"),
-        "rank",
-        F.col("score").alias("cosine"),
-    )
-
-
 def _with_length(vector: str, kind: str) -> Column:
-    """Components as they are stored, null and NaN ones as 0, and the length: with floats half of what :func:`_unit` takes."""
+    """Components as they are stored, null and NaN ones as 0, and the length: a few bytes a component."""
     zero = F.lit(0.0).cast(kind)
     values = F.transform(F.coalesce(vector, F.array().cast(f"array<{kind}>")), lambda v: F.nanvl(F.coalesce(v.cast(kind), zero), zero))
     length = F.sqrt(F.aggregate(values, F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double")))
@@ -68,6 +45,76 @@ def _matrix(vectors: pa.StructArray, width: int) -> np.ndarray:
     return np.divide(out, length, out=np.zeros_like(out), where=length != 0)
 
 
+def graph_blocks(n: int, width: int, cores: int) -> int:
+    """Blocks that ``n`` points are dealt to, on either side of all pairs."""
+    blocks = max(1, math.ceil(n * max(1, width) / BLOCK_CELLS))
+    # small inputs: smaller blocks, so that every core gets several pairs
+    lack = 4 * cores / blocks**2
+    return min(math.ceil(blocks * lack**0.5), math.ceil(n / STEP) or 1) if lack > 1 else blocks
+
+
+def _stored(block: pa.Table) -> tuple[np.ndarray, pa.StructArray]:
+    """Ids in order, and the vectors in that order."""
+    block = block.sort_by(block.column_names[0])
+    return block.column(0).to_numpy(), block.column(1).combine_chunks()
+
+
+def _near(left: pa.Table, right: pa.Table, k: int) -> pa.Table:
+    """The ``k`` best right points of every left one (``id, vector``), in slices of some million scores."""
+    columns = []
+    if left.num_rows and right.num_rows:
+        (l_ids, l_vec), (r_ids, r_vec) = _stored(left), _stored(right)
+        width = max(1, *(int(np.diff(v.field("x").offsets.to_numpy()).max()) for v in (l_vec, r_vec)))
+        beat, found = np.full(len(l_ids), -np.inf), []
+        for begin in range(0, len(r_ids), SLICE):
+            ids, columns_of = r_ids[begin : begin + SLICE], _matrix(r_vec[begin : begin + SLICE], width).T
+            for start in range(0, len(l_ids), STEP):
+                to_beat = beat[start : start + STEP]
+                scores = _matrix(l_vec[start : start + STEP], width) @ columns_of
+                at, other, value = _best(scores, ids, k, -np.inf, to_beat, DIGITS)
+                found.append((start + at, other, value))
+                # the k-th score of this slice, for the slices after it
+                last = np.flatnonzero(np.bincount(at, minlength=len(to_beat)) == k)
+                to_beat[last] = value[np.searchsorted(at, last, "right") - 1]
+        row, other, value = (np.concatenate(part) for part in zip(*found))
+        order = np.lexsort((other, -value, row))
+        row, other, value = row[order], other[order], value[order]
+        keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+        columns = [l_ids[row[keep]], other[keep], value[keep]]
+    types = (pa.int64(), pa.int64(), pa.float64())
+    return pa.table([pa.array(c, t) for c, t in zip(columns or [[], [], []], types)], ["left_id", "right_id", "score"])
+
+
+def knn_graph(
+    points: DataFrame, id_column: str, vector: str, k: int = NEIGHBOURS, n_points: int | None = None
+) -> DataFrame:
+    """``vec_id, neighbour_id, rank, cosine``: exact k nearest points of every point.
+
+    Points are dealt to blocks and all pairs of blocks are brought together. Vectors are copied
+    as they are stored, once for each block of the other side; a task hands on the k best of its pair.
+    """
+    kind = "float" if dict(points.dtypes)[vector] == "array<float>" else "double"
+    unit = points.select(F.col(id_column).alias("id"), _with_length(vector, kind).alias("v"))
+    n, width = unit.agg(F.count("*"), F.max(F.size("v.x"))).first()
+    blocks = graph_blocks(n if n_points is None else n_points, width or 1, points.sparkSession.sparkContext.defaultParallelism)
+    block, every = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    lefts = unit.select(F.col("id").alias("l_id"), F.col("v").alias("l_v"), block.alias("lb"), every.alias("rb"))
+    rights = unit.select(F.col("id").alias("r_id"), F.col("v").alias("r_v"), every.alias("r_lb"), block.alias("r_rb"))
+
+    def multiply(a: pa.Table, b: pa.Table) -> pa.Table:
+        return _near(a.select(["l_id", "l_v"]), b.select(["r_id", "r_v"]), k)
+
+    found = lefts.groupBy("lb", "rb").cogroup(rights.groupBy("r_lb", "r_rb")).applyInArrow(multiply, "left_id long, right_id long, score double")
+    order = W.partitionBy("left_id").orderBy(F.desc("score"), "right_id")
+    ranked = found.withColumn("score", F.round("score", DIGITS)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return ranked.select(
+        F.col("left_id").alias("vec_id"),
+        F.col("right_id").alias("neighbour_id"),
+        "rank",
+        F.col("score").alias("cosine"),
+    )
+
+
 def _codes(width: int, bits: int, starts: int):
     """Rows ``id, v`` to rows ``id, start, code``: the sides of random planes through the origin."""
     planes = np.random.default_rng(SEED).standard_normal((width, starts * bits))

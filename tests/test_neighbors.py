@@ -57,3 +57,30 @@ def test_descent_keeps_stored_floats(spark, monkeypatch):
     found = _graph(neighbors.knn_descent(floats, "vec_id", "embedding", 5))
     assert ("unit", "struct<x:array<float>,length:double>") in seen
     assert found == _graph(neighbors.knn_graph(floats, "vec_id", "embedding", 5))
+
+
+def test_exact_graph_deals_few_blocks():
+    """Copies of a vector grow with blocks: 615,000 points of 64 components took 75 and 151 copies."""
+    assert neighbors.graph_blocks(615_000, 64, 6) <= 5
+    assert neighbors.graph_blocks(0, 1, 8) == 1 and neighbors.graph_blocks(300, 64, 8) == 2
+
+
+def test_exact_graph_copies_stored_floats(spark, monkeypatch):
+    """Several blocks and slices, odd vectors and repeated ids, against all pairs by numpy."""
+    monkeypatch.setattr(neighbors, "SLICE", 100)
+    pick = np.random.default_rng(8)
+    vectors = [None, [0.0] * 6, [float("nan")] + [1.0] * 5, [2.0], *pick.standard_normal((900, 6)).round(1)]
+    points = _frame(spark, vectors).selectExpr("vec_id", "cast(embedding as array<float>) as embedding")
+    graph = neighbors.knn_graph(points, "vec_id", "embedding", 5)
+    assert "struct(i, " not in graph._jdf.queryExecution().optimizedPlan().toString()
+    m = np.zeros((len(vectors), 6))
+    for i, v in enumerate(vectors):
+        m[i, : len(v) if v is not None else 0] = np.nan_to_num(np.asarray(v if v is not None else [], np.float32).astype(float))
+    m = np.divide(m, np.linalg.norm(m, axis=1)[:, None], out=np.zeros_like(m), where=m.any(1)[:, None])
+    cosine = np.round(m @ m.T, 6)
+    found = _graph(graph)
+    assert len(found) == 5 * len(vectors)
+    for i in range(len(vectors)):
+        best = np.sort(cosine[i])[::-1][:5]
+        mine = sorted((r, c) for (a, _), (r, c) in found.items() if a == i)
+        assert [c for _, c in mine] == pytest.approx(best, abs=2e-6)
